@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes inside this block remove their shuffle files as soon as they end, to hold less disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -30,7 +44,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with dropping_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,3 +112,13 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 def digest(column: Column) -> Column:
     """SHA-256 of a string or binary column, lowercase hex."""
     return F.sha2(column, 256)
+
+
+def word_pieces(text: Column) -> Column:
+    """The matches of the public tokenizers' PATTERN in ``text``, in order; together they are the text.
+
+    The flag gives white space its Unicode meaning, as in the libraries that define the pattern.
+    """
+    from public_tokenizers import PATTERN
+
+    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))

@@ -9,19 +9,23 @@ corpus encodes nothing.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonproof.llm.common import digest, scratch_path, whole_text
+from carbonproof.llm.common import digest, dropping_shuffles, scratch_path, whole_text, word_pieces
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
-#: Characters handed to the tokenizer at once; bounds the memory of one call, not the text.
-BATCH_CHARS = 1 << 20
+#: Pieces whose counts a worker remembers, at most; it forgets all of them beyond that.
+MAX_REMEMBERED = 500_000
+#: Longer pieces are not remembered.
+MAX_PIECE = 64
 
 
 def _counter(path: str) -> Callable[[list[str]], list[int]]:
@@ -40,35 +44,66 @@ def _counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-_LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
+class _Remembering:
+    """Counts of pieces, each distinct piece encoded once while it is remembered."""
 
+    def __init__(self, path: str) -> None:
+        self.count, self.known = _counter(path), {}
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    group, held = [], 0
-    for text in texts:
-        if group and held + len(text) > BATCH_CHARS:
-            yield group
-            group, held = [], 0
-        group.append(text)
-        held += len(text)
-    if group:
-        yield group
+    def __call__(self, pieces: list[str]) -> list[int]:
+        if len(self.known) > MAX_REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = [x for x in pieces if x not in known]
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            known.update(zip(part, self.count(part), strict=True))
+        out = [known[x] for x in pieces]
+        for x in new:
+            if len(x) > MAX_PIECE:
+                del known[x]
+        return out
+
+
+_LOADED: dict[str, _Remembering] = {}
 
 
 def _encode(path: str, version: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
-            _LOADED[path] = _counter(path)
+            _LOADED[path] = _Remembering(path)
         for batch in batches:
-            counts = [n for group in _groups(batch.column(1).to_pylist()) for n in _LOADED[path](group)]
+            lists = batch.column(1)
+            distinct = lists.flatten().dictionary_encode()
+            counts = np.array(_LOADED[path](distinct.dictionary.to_pylist()), dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts[distinct.indices.to_numpy()])]) if len(distinct) else np.zeros(1, np.int64)
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())],
+                [batch.column(0), pa.array([version] * len(batch)), pa.array(ends[at[1:]] - ends[at[:-1]])],
                 ["content_digest", "tokenizer_digest", "n_tokens"],
             )
 
     return run
 
 
+def _pieces(tokenizer: str, content: Column) -> Column:
+    """What the library encodes one by one: pieces that no token crosses, or else the whole text.
+
+    A byte-level tokenizer without a normaliser splits texts by PATTERN first, so its pieces can be
+    counted apart. A text that holds one of its added tokens stays whole, as do all texts of others.
+    """
+    if not tokenizer.endswith(".json"):
+        return F.array(content)
+    spec = json.loads(Path(tokenizer).read_text(encoding="utf-8"))
+    split = spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return F.array(content)
+    pieces = word_pieces(content)
+    for token in spec["added_tokens"]:
+        pieces = F.when(F.contains(content, F.lit(token["content"])), F.array(content)).otherwise(pieces)
+    return pieces
+
+
 def open_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache's rows; an empty cache is created where none is."""
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
@@ -97,8 +132,10 @@ def token_counts(
         texts.join(known.select("content_digest"), "content_digest", "left_anti")
         .groupBy("content_digest")
         .agg(F.any_value("content").alias("content"))
+        .select("content_digest", _pieces(tokenizer, F.col("content")).alias("pieces"))
     )
-    misses.mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
+    with dropping_shuffles(spark):
+        misses.mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = (
         spark.read.schema(CACHE_SCHEMA)
         .parquet(cache)
