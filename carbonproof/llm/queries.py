@@ -11,8 +11,10 @@ import public_tokenizers
 from carbonproof.llm.common import scratch_path
 from carbonproof.llm.decontaminate import contaminated
 from carbonproof.llm.license_scan import license_scan
+from carbonproof.llm.line_dedup import dedup_lines
 from carbonproof.llm.quality_rules import BASE, quality_rules
 from carbonproof.llm.sharding import Policy, ShardStore
+from carbonproof.llm.simhash import simhash_groups
 from carbonproof.llm.token_counts import token_counts
 
 #: Documents of one arrival in op1.
@@ -35,6 +37,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(where), "_shard").drop("_shard")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that each document has left, and how many lines it had and lost."""
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_count=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +52,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -86,8 +98,10 @@ def _compaction_sql(passes: int = 4, policy: Policy | None = None) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
 }
