@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from carbonproof.llm.common import scratch_path
 from carbonproof.llm.decontaminate import contaminated
+from carbonproof.llm.html_extract import extract_text
 from carbonproof.llm.license_scan import license_scan
 from carbonproof.llm.line_dedup import dedup_lines
+from carbonproof.llm.quality_classifier import quality_scores
 from carbonproof.llm.quality_rules import BASE, quality_rules
 from carbonproof.llm.sharding import Policy, ShardStore
 from carbonproof.llm.simhash import simhash_groups
@@ -37,6 +39,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(where), "_shard").drop("_shard")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_grams", "log_importance", "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that each document has left, and how many lines it had and lost."""
     out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_count=True)
@@ -65,6 +72,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def _compaction_sql(passes: int = 4, policy: Policy | None = None) -> str:
     """The plan of op1 as SQL: passes of the same rule; further passes change nothing at these sizes."""
     p = policy or Policy()
@@ -98,12 +109,14 @@ def _compaction_sql(passes: int = 4, policy: Policy | None = None) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_sharding": _compaction_sql()}
