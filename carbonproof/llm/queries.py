@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from carbonproof.llm.byte_bpe import encode_texts, with_digests
 from carbonproof.llm.common import scratch_path
 from carbonproof.llm.decontaminate import contaminated
 from carbonproof.llm.html_extract import extract_text
@@ -59,6 +60,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return with_digests(encode_texts(_table(spark, sf_dir, "documents"), ranks, decoded=True))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
