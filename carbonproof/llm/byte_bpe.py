@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -168,7 +169,7 @@ class _Assembler:
         return self.tokens.take(ids)
 
 
-_READY: dict[int, _Assembler] = {}
+_READY: dict[str, _Assembler] = {}
 ENCODED_SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 
 
@@ -186,13 +187,13 @@ def _assembled(pieces: DataFrame, dictionary: DataFrame, ranks: dict[bytes, int]
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
-    held = pieces.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks))
+    held, name = pieces.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(held.value[1]) not in _READY:
+        if name not in _READY:
             _READY.clear()
-            _READY[id(held.value[1])] = _Assembler(*held.value)
-        bpe = _READY[id(held.value[1])]
+            _READY[name] = _Assembler(*held.value)
+        bpe = _READY[name]
         for batch in batches:
             for start, stop in _cuts(batch.column(1)):
                 part = batch.slice(start, stop - start)
