@@ -9,6 +9,7 @@ detection of a higher priority, or inside a longer one of the same priority, is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,9 +127,14 @@ def _count_words(text: Column) -> Column:
 
 
 def base_columns(text: Column) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base_labels of the base phrases in a whole text."""
+    """n_words, n_base, first_word, last_word and base_labels of the base phrases in a whole text.
+
+    Only texts that contain a part of every phrase, found without a pattern, are searched by one.
+    """
+    lowered = F.lower(text)
+    likely = F.contains(lowered, F.lit("license")) | F.contains(lowered, F.lit("cc"))
     any_phrase = "(?:" + "|".join(_pattern(p)[4:] for p in BASE_PHRASES) + ")"
-    places = F.regexp_extract_all(text, F.lit("(?i)" + any_phrase), F.lit(0))
+    places = F.when(likely, F.regexp_extract_all(text, F.lit("(?i)" + any_phrase), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
     first_of = F.create_map(*[F.lit(x) for p, label in BASE_PHRASES.items() for x in (p.split()[0], label)])
     labels = F.transform(places, lambda m: first_of[F.lower(F.regexp_extract(m, "^[A-Za-z]+", 0))])
     found = F.size(places) > 0
@@ -157,7 +163,9 @@ def detections(docs: DataFrame) -> DataFrame:
     keywords = sorted({r.keyword for r in rules()})
     gate = f"(?i){START}(?:" + "|".join(keywords) + f"){END}"
     present = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(gate), F.lit(0)), lambda k: F.lower(k)))
-    tried = docs.select("doc_key", "content", F.explode(present).alias("keyword")).join(F.broadcast(table), "keyword")
+    likely = docs.withColumn("lowered", F.lower("content")).where(reduce(lambda a, b: a | b, [F.contains("lowered", F.lit(k)) for k in keywords]))
+    held = likely.select("doc_key", "content", present.alias("present")).where(F.size("present") > 0).dropDuplicates(["doc_key"])
+    tried = held.select("doc_key", "content", F.explode("present").alias("keyword")).join(F.broadcast(table), "keyword")
     found = F.regexp_extract_all("content", F.col("pattern"), F.lit(0))
     around = F.transform(F.split("content", F.col("pattern")), lambda x: F.length(x))
     sizes = F.transform("found", lambda x: F.length(x))
@@ -197,14 +205,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns ``(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, detections)``;
     ``labels`` joins the base labels and those of the rules that were not suppressed, ``score`` is the
     highest confidence among them, 0 without any; ``detections`` are character spans with label,
-    priority and confidence. Null texts count as empty, repeated rows and null ids give a row each,
+    priority and confidence. Null texts count as empty, repeated rows give a row each, rows with a null id only have the base columns,
     an empty table gives an empty table, other columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_key"), whole_text(text_col).alias("content"))
-    marked = detections(texts.where("doc_key is not null").dropDuplicates(["doc_key", "content"]).withColumn("doc_key", F.struct("doc_key", F.xxhash64("content"))))
-    base = texts.select("doc_key", F.xxhash64("content").alias("content_hash"), *[c.alias(n) for n, c in base_columns(F.col("content")).items()])
-    marked = marked.select(F.col("doc_key.doc_key").alias("doc_key"), F.col("doc_key").getField("col2").alias("content_hash"), "found")
+    keyed = texts.where("doc_key is not null").withColumn("doc_key", F.struct("doc_key", F.xxhash64("content").alias("content_hash")))
+    marked = detections(keyed).select("doc_key.doc_key", "doc_key.content_hash", "found")
+    places = base_columns(F.col("content"))
+    base = texts.select("doc_key", F.xxhash64("content").alias("content_hash"), *[c.alias(n) for n, c in places.items()])
     joined = base.join(marked, ["doc_key", "content_hash"], "left")
     spans = F.coalesce("found", F.expr("cast(array() as array<struct<start:int,stop:int,priority:int,label:string,confidence:double>>)"))
     base_list = F.filter(F.split("base_labels", ","), lambda x: x != "")
