@@ -23,7 +23,10 @@ def _relative(uri: str):
 
 
 def read_inventory(spark: SparkSession, uri: str, prefix: str | None = None, glob: str | None = None) -> DataFrame:
-    """``rel_path, size, mtime`` of every file below ``uri``; contents are not read."""
+    """``rel_path, size, mtime`` of every file below ``uri``; contents are not read.
+
+    Spark's file sources leave out files of no bytes and names that begin with ``_`` or ``.``.
+    """
     found = _files(spark, uri, glob).select(_relative(uri).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return found.where(F.col("rel_path").startswith(prefix)) if prefix else found
 
