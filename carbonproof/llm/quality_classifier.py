@@ -200,7 +200,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     if np.isinf(cut):
         return scored.withColumn("kept", F.lit(True))
     k = scored.where(F.col("log_importance") > cut).count()
-    return scored.withColumn("kept", F.coalesce(top_k(scored, "sample_key", k, "doc_id"), F.lit(True)))
+    return scored.withColumn("kept", F.col("doc_id").isNull() | top_k(scored, "sample_key", k, "doc_id"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

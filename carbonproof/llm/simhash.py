@@ -219,7 +219,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 
     Of rows that repeat an id one stays; rows with a null id all stay.
     """
-    groups = simhash_groups(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    stay = named.join(groups, F.col("doc_id") == F.col("_kept"), "left_semi")
+    groups = materialise(simhash_groups(docs, shingle, radius), "simhash-groups")
+    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null")
+    rows, ids = groups.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if rows > ids:  # only then are whole rows compared by id, which shuffles the texts once more
+        named = named.dropDuplicates(["doc_id"])
+    stay = named.join(heads, F.col("doc_id") == F.col("_kept"), "left_semi")
     return stay.unionByName(docs.where("doc_id is null"))
