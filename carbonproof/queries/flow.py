@@ -96,7 +96,7 @@ def stream_item_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _stream(fx.transfer_events(spark, sf_dir), "ts", "progress")
-    out = _result(streams.stream_progress(src, "6 hours"), "windows", "update")
+    out = _result(streams.stream_progress(src, "6 hours", delay="40 days"), "windows", "update")  # files may come in any order
     last = F.max_by(F.struct("bytes", "items", "rate"), "batch").alias("last")
     per = out.groupBy("start", "stop").agg(last)
     return per.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "last.*")
