@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from carbonproof.llm.common import materialise, whole_text, word_pieces
 
 #: Words in the dictionary, at most; longer words than MAX_BYTES are merged in the workers.
-MAX_WORDS, MAX_BYTES = 1 << 19, 48
+MAX_WORDS, MAX_BYTES = 1 << 18, 48
 #: Buckets of the literal pair map.
 BUCKETS = 1 << 17
 #: Pieces put together at once, and rare words that a worker remembers.
-PART_PIECES, MAX_REMEMBERED = 1 << 20, 300_000
+PART_PIECES, MAX_REMEMBERED = 1 << 19, 200_000
 #: Ranks stay below this, so a pair is one long that is no rank.
 BASE = 1 << 20
 
@@ -89,25 +89,51 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     return _let(table, lambda t: _let(_let(singles, start), lambda ids: fold(t, ids)))
 
 
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word by the same merges, with a heap of the pairs that may merge next."""
-    n = len(word)
-    parts, after, before = [word[i : i + 1] for i in range(n)], list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The pair table as one map, for the workers."""
+    return {key: rank for bucket in pair_table(ranks, 1) for key, rank in zip(bucket[::2], bucket[1::2], strict=True)}
+
+
+def merge_word(word: bytes, singles: list[int], pairs: dict[int, int]) -> list[int]:
+    """The ids of one word by the same merges; only the neighbours of a merge are looked up anew."""
+    ids = [singles[b] for b in word]
+    if len(ids) > 500:
+        return _merge_long(ids, pairs)
+    find = pairs.get
+    found = [find((a + 1) * BASE + b, BASE) for a, b in zip(ids, ids[1:], strict=False)]
+    while found and (least := min(found)) < BASE:
+        i = found.index(least)
+        ids[i] = least
+        del ids[i + 1], found[i]
+        if i < len(found):
+            found[i] = find((least + 1) * BASE + ids[i + 1], BASE)
+        if i:
+            found[i - 1] = find((ids[i - 1] + 1) * BASE + least, BASE)
+    return ids
+
+
+def _merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """``merge_word`` for long words, with a heap of the pairs that may merge next."""
+    n = len(ids)
+    parts, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def rank(i: int) -> int | None:
+        return pairs.get((parts[i] + 1) * BASE + parts[after[i]])
+
+    heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, size = heapq.heappop(heap)
+        r, i = heapq.heappop(heap)
         j = after[i]
-        if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
+        if parts[i] < 0 or j >= n or rank(i) != r:
             continue
-        parts[i], parts[j] = parts[i] + parts[j], b""
-        after[i] = after[j]
+        parts[i], parts[j], after[i] = r, -1, after[j]
         if after[i] < n:
             before[after[i]] = i
         for a in (before[i], i):
-            if a >= 0 and after[a] < n and (r := ranks.get(union := parts[a] + parts[after[a]])) is not None:
-                heapq.heappush(heap, (r, a, len(union)))
-    return [ranks[p] for p in parts if p]
+            if a >= 0 and after[a] < n and (r := rank(a)) is not None:
+                heapq.heappush(heap, (r, a))
+    return [p for p in parts if p >= 0]
 
 
 def frequent_words(pieces: DataFrame, max_words: int) -> DataFrame:
@@ -131,7 +157,7 @@ class _Assembler:
     def __init__(self, words: bytes, ranks: dict[bytes, int]) -> None:
         table = pa.ipc.open_stream(words).read_all().combine_chunks()
         self.words, self.ids = table.column("piece").combine_chunks(), table.column("ids").combine_chunks().cast(pa.list_(pa.int32()))
-        self.ranks, self.rare = ranks, {}
+        self.singles, self.pairs, self.rare = [ranks[bytes([b])] for b in range(256)], pair_ranks(ranks), {}
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -144,7 +170,7 @@ class _Assembler:
         for w in words:
             ids = self.rare.get(w)
             if ids is None:
-                ids = merge_word(w.encode(), self.ranks)
+                ids = merge_word(w.encode(), self.singles, self.pairs)
                 if len(w) <= MAX_BYTES:
                     self.rare[w] = ids
             out.append(ids)
