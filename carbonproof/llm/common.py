@@ -49,6 +49,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs`` without (``left_anti``) or with only (``left_semi``) the ids in the one column of ``ids``, all columns kept."""
+    key = fresh_name(docs, "_id")
+    return docs.join(ids.toDF(key), docs["doc_id"] == F.col(key), how)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carbonproof.llm.common import without_ids
+
 #: Word edits allowed for each word of an item.
 RATE = 0.2
 #: Bytes of items that one automaton holds; more items are matched in several passes.
@@ -151,5 +153,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, max_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no test item, with all their columns; those with a null id or text stay."""
-    leaked = contaminated(docs, benchmark, rate).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark, rate).select("doc_id").distinct())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonproof.llm.common import labelled_sample, materialise, whole_text
+from carbonproof.llm.common import labelled_sample, materialise, whole_text, without_ids
 
 #: Rows of labels that are used, at most.
 MAX_LABELLED = 20_000
@@ -205,5 +205,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the sample keeps, with all their columns; those with a null id stay."""
-    rejected = quality_scores(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    return without_ids(docs, quality_scores(docs, labels).where(~F.col("kept")).select("doc_id").distinct())

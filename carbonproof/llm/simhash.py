@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carbonproof.llm.common import connected_components, materialise
+from carbonproof.llm.common import connected_components, materialise, without_ids
 
 #: Distinct fingerprints in a leaf, nodes under a node, fingerprints in the smallest group of a leaf.
 LEAF, FANOUT, GROUP = 1024, 16, 16
@@ -220,10 +220,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     Of rows that repeat an id one stays; rows with a null id all stay.
     """
     groups = materialise(simhash_groups(docs, shingle, radius), "simhash-groups")
-    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null")
     rows, ids = groups.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if rows > ids:  # only then are whole rows compared by id, which shuffles the texts once more
         named = named.dropDuplicates(["doc_id"])
-    stay = named.join(heads, F.col("doc_id") == F.col("_kept"), "left_semi")
+    stay = without_ids(named, heads, "left_semi")
     return stay.unionByName(docs.where("doc_id is null"))
