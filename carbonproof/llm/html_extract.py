@@ -210,9 +210,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     table gives an empty table; other columns are ignored.
     """
     source = pages.select(F.col(id_col).cast("bigint").alias("page_key"), "url", "html")
-    parsed = materialise(_parsed(source), "page-lines")
-    known = parsed.where("page_key is not null").groupBy("page_key").agg(F.min("url").alias("url"), F.min("hashes").alias("hashes"))
-    known = materialise(known, "page-hashes")
+    parsed = _parsed(source)  # twice, which costs less disk than to keep all lines
+    hashed = materialise(parsed.where("page_key is not null").select("page_key", "url", "hashes"), "page-hashes")
+    known = materialise(hashed.groupBy("page_key").agg(F.min("url").alias("url"), F.min("hashes").alias("hashes")), "page-hashes")
     mates = nearest_pages(known).where("mate is not null")
     wanted = mates.join(known.select(F.col("page_key").alias("mate"), F.col("hashes").alias("mate_hashes")), "mate")
     rows = parsed.join(wanted.select(F.col("page_key").alias("k"), "mate_hashes"), F.col("page_key") == F.col("k"), "left")
