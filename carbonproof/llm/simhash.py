@@ -19,10 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carbonproof.llm.common import connected_components, materialise, without_ids
+from carbonproof.llm.near_buckets import near_groups, shared_buckets
 
 #: Distinct fingerprints in a leaf, nodes under a node, fingerprints in the smallest group of a leaf.
 LEAF, FANOUT, GROUP = 1024, 16, 16
 LINK_SCHEMA = "src bigint, dst bigint"
+#: The pipeline's near-duplicate stage: words in a shingle, and similarity of two sets of shingles at least.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Its candidates: bands, and minwise hashes in a band.
+BANDS, BAND_ROWS = 10, 4
+
+_ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -214,12 +221,96 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFr
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The documents left when one of each group stays, the one with the smallest id, with all columns.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole text; words as in ``fingerprint``."""
+    words = (text or "").encode().lower().split()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    mixed = np.zeros(len(words) - size + 1 if words else 0, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ hashes[k : k + len(mixed)]) * _ODD
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def min_hashes(features: np.ndarray, n: int) -> np.ndarray:
+    """``n`` minwise hashes of a set that is not empty."""
+    rng = np.random.default_rng(11)
+    salts, odds = (rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(features), 1 << 12):
+        mixed = (features[None, at : at + (1 << 12)] ^ salts[:, None]) * odds[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        out = np.minimum(out, (mixed * _ODD).min(axis=1))
+    return out
+
+
+def shingle_keys(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """``doc_id, node, keys``: a hash of the set of shingles, and a key for each band of minwise hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys = np.zeros(len(batch), np.uint64), []
+            for k, x in enumerate(batch.column(1)):
+                features = shingle_set(x.as_py(), shingle)
+                nodes[k] = xxhash.xxh64_intdigest(features.tobytes())
+                least = min_hashes(features, bands * rows) if len(features) else np.zeros(0, np.uint64)
+                keys.append([xxhash.xxh64_intdigest(least[i : i + rows].tobytes(), i) - (1 << 63) for i in range(0, len(least), rows)])
+            arrays = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "keys"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+
 
-    Of rows that repeat an id one stays; rows with a null id all stay.
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, features``: the sets of shingles themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                features = shingle_set(x.as_py(), shingle)
+                node = np.uint64(xxhash.xxh64_intdigest(features.tobytes())).view(np.int64)
+                arrays = [pa.array([node], pa.int64()), pa.array([features.view(np.int64)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "features"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, features array<bigint>")
+
+
+def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """``(doc_id, component_id)`` of documents with an id: chains of texts whose sets of shingles are similar.
+
+    Similarity is the exact Jaccard similarity of the sets. Candidates share one of BANDS bands of
+    BAND_ROWS minwise hashes; equal sets are one node, whatever their number, texts without a word too.
+    """
+    named = docs.where("doc_id is not null")
+    keyed = materialise(shingle_keys(named, shingle), "shingle-keys")
+    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys"))
+    nodes = materialise(nodes, "shingle-nodes")
+    seen = shared_buckets(nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id")))
+    wanted = nodes.join(seen.select("id").distinct().toDF("node"), "node", "left_semi").select("id").distinct()
+    sets = _shingle_sets(without_ids(named, wanted, "left_semi"), shingle).groupBy("node").agg(F.any_value("features").alias("features"))
+    sets = materialise(sets, "shingle-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.toDF(name, f"{name}_set") for name in ("src", "dst"))
+        both = pairs.join(a, "src").join(b, "dst").withColumn("common", F.size(F.array_intersect("src_set", "dst_set")))
+        union = F.size("src_set") + F.size("dst_set") - F.col("common")
+        return both.where(F.col("common") >= union * similarity - 1e-9).select("src", "dst")
+
+    groups = near_groups(seen, verified)
+    merged = nodes.select("node", "id").join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    merged = merged.select("node", "id", F.coalesce("component", "node").alias("component"))
+    heads = merged.groupBy("component").agg(F.min("id").alias("component_id"))
+    return keyed.select("doc_id", "node").join(merged.join(heads, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """The documents left when one of each near-duplicate group stays, the one with the smallest id, with all columns.
+
+    Groups are those of ``shingle_groups``, not of op7's contract. Of rows that repeat an id one stays;
+    rows with a null id all stay.
     """
-    groups = materialise(simhash_groups(docs, shingle, radius), "simhash-groups")
+    groups = materialise(shingle_groups(docs, shingle, similarity), "shingle-groups")
     heads = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null")
     rows, ids = groups.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
