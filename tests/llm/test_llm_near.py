@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from carbonproof.llm import simhash
+from carbonproof.llm import line_dedup, simhash
 
 
 def varied(rng, words, text, share):
@@ -29,3 +29,22 @@ def test_stage_keeps_one_of_near_copies(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     dropped = set(texts) - {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert dropped <= near and len(dropped) >= 0.95 * len(near) > 40
+
+
+def test_op3_finds_near_lines_of_any_length(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 10))) for _ in range(2000)]
+    lines, near = [], []
+    for k in range(160):
+        base = rng.choices(words, k=rng.choice([5, 12, 30, 60, 120]))
+        at = rng.randrange(len(base))
+        other = base[:at] + [rng.choice(words)] + base[at + 1 :] if len(base) > 8 else base[:at] + [base[at] + "s"] + base[at + 1 :]
+        lines += [" ".join(base), " ".join(other)]
+        near.append(lines[-1] != lines[-2])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = line_dedup.dedup_lines(docs, keep_count=True).where("n_dropped > 0")
+    found = {r["doc_id"] for r in got.collect()}
+    assert not any(k % 2 == 0 for k in found)
+    for size in range(2):
+        part = [2 * k + 1 for k in range(160) if near[k] and (len(lines[2 * k].split()) > 20) == bool(size)]
+        assert len(found & set(part)) >= 0.95 * len(part) > 20
