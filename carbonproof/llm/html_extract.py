@@ -1,9 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path and each is paired with its nearest neighbour. The text
-lines of the two are aligned by a longest common subsequence, and lines that they share are the
-site's, not the page's: they are deleted. Lines inside an article are kept even if shared, since two
-addresses may show one article. Lines inside menus, adverts and other chrome always go.
+Pages of a host are ordered by URL path and each is paired with its nearest neighbour of other content.
+The text lines of the two are aligned by a longest common subsequence, and lines that they share are the
+site's, not the page's: they are deleted, inside an article too unless the neighbour shares nearly all
+of it, since two addresses may show one article. Lines inside menus, adverts and other chrome always go.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ _SPACE = re.compile(r"\s+")
 _WORDS = frozenset(CHROME_WORDS)
 #: Roles of a line: inside an article, inside chrome, or neither.
 ARTICLE, IN_CHROME, OPEN = "a", "c", "o"
+#: Share of the lines of two pages, or of an article, from which they count as the same.
+NEARLY = 0.9
 
 
 def _is_chrome(tag: str, attributes: str) -> bool:
@@ -127,11 +129,11 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """``page_key, url, lines, roles, hashes`` of every page."""
+    """``page_key, url, lines, roles, hashes`` of every page, of its lines outside of chrome."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page_lines(x.as_py()) for x in batch.column(2)]
+            found = [[x for x in page_lines(p.as_py()) if x[1] != IN_CHROME] for p in batch.column(2)]
             lines = [[t for t, _ in p] for p in found]
             hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in p] for p in lines]
             yield pa.RecordBatch.from_arrays(
@@ -187,8 +189,10 @@ def _differenced(rows: DataFrame) -> DataFrame:
 
     def text(lines: list[str], roles: str, mine: list[int], other: list[int] | None) -> str:
         shared = set(common_lines(mine, other)) if other else set()
-        wanted = ARTICLE if ARTICLE in roles else OPEN
-        return "\n".join(x for k, (x, r) in enumerate(zip(lines, roles, strict=True)) if r == wanted and (r == ARTICLE or k not in shared))
+        inside = {k for k, r in enumerate(roles) if r == ARTICLE}
+        if len(inside & shared) >= NEARLY * len(inside):  # both show one article
+            shared -= inside
+        return "\n".join(x for k, x in enumerate(lines) if k not in shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +207,8 @@ def _differenced(rows: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Main text of every whole page: ``(id_col, url, text, n_chars)``.
 
-    Blocks of the article are joined by \\n; a page without an article keeps the blocks outside of
-    chrome that it does not share with its nearest neighbour. Null html counts as empty and has the
+    Blocks outside of chrome, joined by \\n, less those that the page shares with its nearest neighbour
+    of other content; an article that the neighbour shows too, nearly whole, stays. Null html counts as empty and has the
     empty text; a null URL belongs to the host without a name; repeated rows give a row each; of rows
     that repeat an id with other contents the first by order serves as the neighbour's mate; an empty
     table gives an empty table; other columns are ignored.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from carbonproof.llm import line_dedup, simhash
+from carbonproof.llm import html_extract, line_dedup, simhash
 
 
 def varied(rng, words, text, share):
@@ -48,3 +48,16 @@ def test_op3_finds_near_lines_of_any_length(spark):
     for size in range(2):
         part = [2 * k + 1 for k in range(160) if near[k] and (len(lines[2 * k].split()) > 20) == bool(size)]
         assert len(found & set(part)) >= 0.95 * len(part) > 20
+
+
+def extracted(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract_text(pages).collect()}
+
+
+def test_op10_differencing_decides_about_lines_of_article_pages(spark):
+    page = "<body><nav>menu</nav><div>Site</div><h1>Lead {0}</h1><article><p>Follow us</p><p>own {0}</p><p>more {0}</p></article></body>"
+    rows = [(k, f"http://h/p/{k}", page.format(k)) for k in range(3)]
+    assert extracted(spark, rows) == {k: f"Lead {k}\nown {k}\nmore {k}" for k in range(3)}
+    one = "<body><div>Site</div><h1>{}</h1><p>{}</p><article><p>a</p><p>b</p></article></body>"
+    assert extracted(spark, [(1, "http://h/1", one.format("x", "y")), (2, "http://h/2", one.format("z", "w"))]) == {1: "x\ny\na\nb", 2: "z\nw\na\nb"}
