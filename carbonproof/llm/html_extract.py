@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carbonproof.llm.common import materialise
@@ -147,28 +148,72 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "page_key bigint, url string, lines array<string>, roles string, hashes array<bigint>")
 
 
+def nearly_same(a: list[int], b: list[int]) -> bool:
+    """Whether all or nearly all lines of two pages are the same."""
+    return sum((Counter(a) & Counter(b)).values()) >= NEARLY * max(len(a), len(b))
+
+
+def _in_runs(ordered: DataFrame) -> DataFrame:
+    """Sorted pages ``(page_key, host, path, hashes)`` with ``run``, one number for neighbours of nearly the same lines.
+
+    A partition numbers its own runs; how partitions join is settled from the lines of their first and
+    last pages, two rows of each partition.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_key", "host", "path", "local", "edge"]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+        last, local = None, 0
+        for batch in batches:
+            rows = []
+            for key, host, path, hashes in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if last is not None:
+                    rows.append((*last[:4], last[4] if last[5] else None))
+                    local += not (last[1] == host and nearly_same(last[4], hashes))
+                last = (key, host, path, local, hashes, last is None)
+            yield packed(rows)
+        if last is not None:
+            yield packed([last[:5]])
+
+    local = ordered.mapInArrow(number, "page_key bigint, host string, path string, local bigint, edge array<bigint>")
+    local = materialise(local.withColumn("at", F.monotonically_increasing_id()), "page-order")
+    edges = sorted(local.where("edge is not null").select("at", "host", "local", "edge").collect())
+    offsets, following, last = {}, 0, None
+    for e in edges:
+        if e["at"] >> 33 not in offsets:
+            joined = last is not None and last["host"] == e["host"] and nearly_same(last["edge"], e["edge"])
+            offsets[e["at"] >> 33] = following - joined
+        following, last = offsets[e["at"] >> 33] + e["local"] + 1, e
+    table = ordered.sparkSession.createDataFrame(list(offsets.items()), "part bigint, offset bigint")
+    numbered = local.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(table), "part")
+    return numbered.select("page_key", "host", "path", "at", (F.col("local") + F.col("offset")).alias("run"))
+
+
 def nearest_pages(pages: DataFrame) -> DataFrame:
-    """``page_key, mate``: for each page the neighbour in path order on its host that shares more of the path.
+    """``page_key, mate`` of pages ``(page_key, url, hashes)``: the neighbour of other content in path order.
 
-    Pages get dense ranks in (host, path) order from a range partitioning and the sizes of its
-    partitions, so a large host is dealt over many tasks; neighbours then meet by an equi-join on the
-    rank. A host's only page has no mate. Ties go to the page before.
+    Neighbours on a host whose lines are nearly all the same (print addresses, mirrors, http and https)
+    form a run; a page's mate is the end of the run before or the start of the run after, on its host,
+    whichever shares more of the path. Pages are ordered by a range partitioning, so a large host is
+    dealt over many tasks; runs then meet by an equi-join on their number. Without other content on the
+    host there is no mate. Ties go to the page before.
     """
     place = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
     host = F.lower(F.regexp_extract(place, "^//([^/?#]*)", 1))
     path = F.regexp_extract(place, "^(?://[^/?#]*)?([^?#]*)", 1)
     parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sites = pages.select("page_key", host.alias("host"), path.alias("path"))
+    sites = pages.select("page_key", host.alias("host"), path.alias("path"), "hashes")
     ordered = sites.repartitionByRange(parts, "host", "path", "page_key").sortWithinPartitions("host", "path", "page_key")
-    ordered = materialise(ordered.withColumn("at", F.monotonically_increasing_id()), "page-order")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
-    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = ordered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(sizes), "part")
-    ranked = ranked.select("page_key", "host", "path", (F.col("at").bitwiseAND((1 << 33) - 1) + F.col("offset")).alias("rank"))
+    ranked = _in_runs(ordered)
+    page = F.struct("page_key", "host", "path")
+    ends = ranked.groupBy("run").agg(F.min_by(page, "at").alias("first"), F.max_by(page, "at").alias("last"))
 
-    def side(shift: int, name: str) -> DataFrame:
-        return ranked.select((F.col("rank") + shift).alias("rank"), F.struct("page_key", "host", "path").alias(name))
+    def side(end: str, shift: int, name: str) -> DataFrame:
+        return ends.select((F.col("run") + shift).alias("run"), F.col(end).alias(name))
 
     def shared(other: str) -> Column:
         n = F.least(F.length("path"), F.length(f"{other}.path"))
@@ -178,7 +223,7 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
         )
         return F.when(F.col(f"{other}.host") == F.col("host"), same).otherwise(-1)
 
-    both = ranked.join(side(1, "prior"), "rank", "left").join(side(-1, "next"), "rank", "left")
+    both = ranked.join(side("last", 1, "prior"), "run", "left").join(side("first", -1, "next"), "run", "left")
     both = both.withColumn("p", F.coalesce(shared("prior"), F.lit(-1))).withColumn("n", F.coalesce(shared("next"), F.lit(-1)))
     mate = F.when(F.greatest("p", "n") < 0, F.lit(None)).when(F.col("p") >= F.col("n"), F.col("prior.page_key")).otherwise(F.col("next.page_key"))
     return both.select("page_key", mate.alias("mate"))

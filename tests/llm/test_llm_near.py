@@ -61,3 +61,11 @@ def test_op10_differencing_decides_about_lines_of_article_pages(spark):
     assert extracted(spark, rows) == {k: f"Lead {k}\nown {k}\nmore {k}" for k in range(3)}
     one = "<body><div>Site</div><h1>{}</h1><p>{}</p><article><p>a</p><p>b</p></article></body>"
     assert extracted(spark, [(1, "http://h/1", one.format("x", "y")), (2, "http://h/2", one.format("z", "w"))]) == {1: "x\ny\na\nb", 2: "z\nw\na\nb"}
+
+
+def test_op10_copies_without_an_article_keep_their_text(spark):
+    page = "<body><div>Site</div><p>first {0}</p><p>second {0}</p></body>"
+    rows = [(10 * k + i, f"http{'s' * (i % 2)}://h/p/{k}?print={i}", page.format(k)) for k in range(3) for i in range(7)]
+    assert extracted(spark, rows) == {10 * k + i: f"first {k}\nsecond {k}" for k in range(3) for i in range(7)}
+    alone = extracted(spark, [(1, "http://h/a", page.format(0)), (2, "https://h/a", page.format(0))])
+    assert alone == {1: "Site\nfirst 0\nsecond 0", 2: "Site\nfirst 0\nsecond 0"}
