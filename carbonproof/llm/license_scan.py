@@ -138,7 +138,7 @@ def base_columns(text: Column) -> dict[str, Column]:
     first_of = F.create_map(*[F.lit(x) for p, label in BASE_PHRASES.items() for x in (p.split()[0], label)])
     labels = F.transform(places, lambda m: first_of[F.lower(F.regexp_extract(m, "^[A-Za-z]+", 0))])
     found = F.size(places) > 0
-    head = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit("(?i)" + any_phrase)) - 1)
+    head = F.element_at(F.split(text, "(?i)" + any_phrase, 2), 1)  # no offsets: these count UTF-16 units, substring code points
     rest = F.regexp_extract(text, f"(?is)^(.*){any_phrase}", 1)
     return {
         "n_words": _count_words(text),

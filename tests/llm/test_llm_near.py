@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from carbonproof.llm import html_extract, line_dedup, simhash
+from carbonproof.llm import html_extract, license_scan, line_dedup, simhash
 
 
 def varied(rng, words, text, share):
@@ -69,3 +69,9 @@ def test_op10_copies_without_an_article_keep_their_text(spark):
     assert extracted(spark, rows) == {10 * k + i: f"first {k}\nsecond {k}" for k in range(3) for i in range(7)}
     alone = extracted(spark, [(1, "http://h/a", page.format(0)), (2, "https://h/a", page.format(0))])
     assert alone == {1: "Site\nfirst 0\nsecond 0", 2: "Site\nfirst 0\nsecond 0"}
+
+
+def test_op9_first_word_after_characters_beyond_ffff(spark):
+    rows = [(1, "\U0001f600 \U0001f600 x mit license"), (2, "mit license \U0001f600 mit license")]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r["first_word"], r["last_word"]) for r in got] == [(3, 3), (0, 3)]
