@@ -25,8 +25,6 @@ MAX_LABELLED = 20_000
 BUCKETS = 1 << 19
 #: Pseudo-counts per bucket, spread like the raw corpus, that are added to the target's counts.
 PRIOR = 0.25
-#: Occurrences of an n-gram in one document that the models count, at most; the scores count all.
-PER_DOCUMENT = 16
 #: Standard deviations by which a bucket's target count must leave its expectation to have a ratio.
 SIGNIFICANT = 3.0
 #: Leading characters of a word that are an n-gram of their own; shorter words have none.
@@ -75,7 +73,7 @@ def _model_counts(hashed: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
         for batch in batches:
             grams, rows = _grams(batch.column(1), buckets)
             distinct, n = np.unique(rows * buckets + grams, return_counts=True)
-            rows, grams, n = distinct // buckets, distinct % buckets, np.minimum(n, PER_DOCUMENT)
+            rows, grams, n = distinct // buckets, distinct % buckets, n
             raw += np.bincount(grams, weights=n, minlength=buckets).astype(np.int64)
             chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[rows]
             target += np.bincount(grams[chosen], weights=n[chosen], minlength=buckets).astype(np.int64)
