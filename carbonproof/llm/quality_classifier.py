@@ -2,7 +2,7 @@
 
 Hashed counts of words, word beginnings and word pairs give a generative model of target text (labelled as good) and one of
 the raw corpus. A document's importance is the mean log ratio of the two over its n-grams, where only
-buckets whose counts differ significantly have a ratio other than 1. As many
+n-grams whose counts differ significantly have a ratio other than 1. As many
 documents are drawn as look like the target, without replacement and in proportion to their
 importance: each adds Gumbel noise to its scaled log importance and the k largest stay. The k-th
 largest is found by counting, digit by digit, so nothing is sorted in one place.
@@ -21,11 +21,9 @@ from carbonproof.llm.common import labelled_sample, materialise, whole_text, wit
 
 #: Rows of labels that are used, at most.
 MAX_LABELLED = 20_000
-#: Hash buckets of the n-gram models; what the driver and the workers hold is in proportion.
-BUCKETS = 1 << 19
-#: Pseudo-counts per bucket, spread like the raw corpus, that are added to the target's counts.
+#: Pseudo-counts per distinct n-gram of the target, spread like the raw corpus, that are added to its counts.
 PRIOR = 0.25
-#: Standard deviations by which a bucket's target count must leave its expectation to have a ratio.
+#: Standard deviations by which an n-gram's target count must leave its expectation to have a ratio.
 SIGNIFICANT = 3.0
 #: Leading characters of a word that are an n-gram of their own; shorter words have none.
 STEM = 5
@@ -50,10 +48,11 @@ def _hashed_words(text: Column) -> Column:
     )
 
 
-def _grams(lists: pa.ListArray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, beginnings and neighbouring pairs of a batch, and the row of each.
+def _grams(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, beginnings and neighbouring pairs of a batch, and the row of each.
 
-    A word that follows itself is one n-gram, whatever the word.
+    A word that follows itself is one n-gram, whatever the word. Words, beginnings and pairs are hashed
+    apart. No n-gram has the hash 0, which stands for all of them.
     """
     offsets = lists.offsets.to_numpy().astype(np.int64)
     both = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
@@ -61,63 +60,68 @@ def _grams(lists: pa.ListArray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(lists)), np.diff(offsets) // 2)
     pair, stemmed = rows[1:] == rows[:-1], stems != 0
     pairs = np.where(words[:-1] == words[1:], _PAIR, (words[:-1] * _PAIR) ^ (words[1:] >> np.uint64(7)) ^ words[1:])[pair]
-    grams = [x % np.uint64(buckets) for x in (words, stems[stemmed], pairs)]
-    return np.concatenate(grams).astype(np.int64), np.concatenate([rows, rows[stemmed], rows[1:][pair]])
+    grams = np.concatenate([words, stems[stemmed], pairs])
+    return np.where(grams == 0, np.uint64(1), grams), np.concatenate([rows, rows[stemmed], rows[1:][pair]])
 
 
-def _model_counts(hashed: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per bucket over all documents, and over those marked ``is_target``."""
+def _model_counts(hashed: DataFrame, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the n-grams with a log ratio below 0, and the ratios.
+
+    All occurrences count, each n-gram by itself. A ratio below 0 needs an expected target count over
+    SIGNIFICANT squared, and expected counts add up to the size of the target, so the labelled sample
+    bounds what is returned; rarer n-grams are left out of what is written only for that reason.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            grams, rows = _grams(batch.column(1), buckets)
-            distinct, n = np.unique(rows * buckets + grams, return_counts=True)
-            rows, grams, n = distinct // buckets, distinct % buckets, n
-            raw += np.bincount(grams, weights=n, minlength=buckets).astype(np.int64)
+            grams, rows = _grams(batch.column(1))
             chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[rows]
-            target += np.bincount(grams[chosen], weights=n[chosen], minlength=buckets).astype(np.int64)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[at])], ["bucket", "raw", "target"])
-
-    rows = (
-        hashed.select("is_target", "words")
-        .mapInArrow(run, "bucket bigint, raw bigint, target bigint")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        .toPandas()
-    )
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
-    return raw, target
-
-
-def log_ratio(raw: np.ndarray, target: np.ndarray, prior: float) -> np.ndarray:
-    """Log of target over raw probability per bucket, capped at 0; 0 where the counts do not differ significantly.
+            distinct, at, n = np.unique(grams, return_inverse=True, return_counts=True)
+            target = np.bincount(at[chosen], minlength=len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct.view(np.int64), n.astype(np.int64), target)], ["gram", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (0, len(grams), int(chosen.sum()))], ["gram", "raw", "target"])
+
+    counts = hashed.select("is_target", "words").mapInArrow(run, "gram bigint, raw bigint, target bigint")
+    counts = counts.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = materialise(counts.where((F.col("raw") > SIGNIFICANT**2) | (F.col("gram") == 0)), "gram-counts")
+    whole = counts.where("gram = 0").first()
+    if whole is None or not whole["raw"] or not whole["target"]:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    expected = F.col("raw") * (whole["target"] / whole["raw"])
+    low = counts.where(F.col("gram") != 0).where(expected - F.col("target") > SIGNIFICANT * F.sqrt(expected)).toPandas()
+    known = counts.where("gram <> 0 and target > 0").count()
+    ratio = log_ratio(low["raw"].to_numpy(float), low["target"].to_numpy(float), whole["raw"], whole["target"], prior * known)
+    grams = low["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], ratio[order]
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray, all_raw: float, all_target: float, weight: float) -> np.ndarray:
+    """Log of target over raw probability of n-grams, capped at 0; ``weight`` pseudo-counts are spread like the raw corpus.
 
     The raw corpus holds the target, so the ratio is bounded above by the inverse of the target's share
     and gains no evidence there; the cap keeps long documents from making up for what they hold.
     """
-    if not raw.sum() or not target.sum():
-        return np.zeros(len(raw))
-    p_raw = raw / raw.sum()
-    weight = prior * len(raw)
-    p_target = (target + weight * p_raw) / (target.sum() + weight)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        expected = target.sum() * p_raw
-        far = np.abs(target - expected) > SIGNIFICANT * np.sqrt(expected)
-        return np.where((raw > 0) & far, np.minimum(np.log(p_target / p_raw), 0.0), 0.0)
-
-
-def _scores(hashed: DataFrame, ratio: np.ndarray) -> DataFrame:
+    p_raw = raw / all_raw
+    return np.minimum(np.log((target + weight * p_raw) / (all_target + weight) / p_raw), 0.0)
+
+
+def _scores(hashed: DataFrame, known: np.ndarray, ratio: np.ndarray) -> DataFrame:
     """``doc_id, n_grams, log_importance`` (the mean over the n-grams; 0 without any)."""
-    held = hashed.sparkSession.sparkContext.broadcast(ratio)
+    marked = np.zeros(1 << 20, bool)  # most n-grams have no ratio and are passed over without a search
+    marked[known & np.uint64(len(marked) - 1)] = True
+    held = hashed.sparkSession.sparkContext.broadcast((known, ratio, marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ratio, marked = held.value
         for batch in batches:
-            grams, rows = _grams(batch.column(1), len(held.value))
+            grams, rows = _grams(batch.column(1))
             n = np.bincount(rows, minlength=len(batch))
-            total = np.bincount(rows, weights=held.value[grams], minlength=len(batch))
+            likely = marked[grams & np.uint64(len(marked) - 1)]
+            grams, rows = grams[likely], rows[likely]
+            at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+            found = known[at] == grams if len(known) else np.zeros(0, bool)
+            total = np.bincount(rows[found], weights=ratio[at[found]], minlength=len(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n.astype(np.int64)), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_grams", "log_importance"]
             )
@@ -173,7 +177,7 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str) -> Column:
     return (F.col(key) > low) | ((F.col(key) == low) & (F.col(tie) <= F.lit(at)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS, seed: int = 3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 3) -> DataFrame:
     """Importance and verdict of every document: ``(doc_id, n_grams, log_importance, sample_key, kept)``.
 
     ``labels`` has ``doc_id, quality, toxic``; quality 1 and not toxic is the target. The sample of
@@ -190,8 +194,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
         F.broadcast(target), F.col("doc_id") == F.col("_target"), "left"
     )
     hashed = source.select("doc_id", F.col("_target").isNotNull().alias("is_target"), _hashed_words(whole_text()).alias("words"))
-    ratio = log_ratio(*_model_counts(hashed, buckets), PRIOR)
-    scored = _scores(hashed, ratio).withColumn("sample_key", _ordered_bits(F.col("log_importance") * EVIDENCE + gumbel(F.col("doc_id"), seed)))
+    scored = _scores(hashed, *_model_counts(hashed)).withColumn("sample_key", _ordered_bits(F.col("log_importance") * EVIDENCE + gumbel(F.col("doc_id"), seed)))
     scored = materialise(scored, "importance")
     judged = scored.join(F.broadcast(sample.where(held_out)), "doc_id").select("log_importance", "quality", "toxic").toPandas()
     cut = best_cut(judged["log_importance"].to_numpy(), ((judged["quality"] == 1) & (judged["toxic"] == 0)).to_numpy()) if len(judged) else -np.inf

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from carbonproof.llm import html_extract, license_scan, line_dedup, simhash
+import numpy as np
+from pyspark.sql import functions as F
+
+from carbonproof.llm import html_extract, license_scan, line_dedup, quality_classifier, simhash
 
 
 def varied(rng, words, text, share):
@@ -75,3 +78,27 @@ def test_op9_first_word_after_characters_beyond_ffff(spark):
     rows = [(1, "\U0001f600 \U0001f600 x mit license"), (2, "mit license \U0001f600 mit license")]
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [(r["first_word"], r["last_word"]) for r in got] == [(3, 3), (0, 3)]
+
+
+def model(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, is_target boolean, text string")
+    hashed = docs.select("doc_id", "is_target", quality_classifier._hashed_words(F.col("text")).alias("words"))
+    return dict(zip(*(x.tolist() for x in quality_classifier._model_counts(hashed)), strict=True)), hashed
+
+
+def test_op2_models_count_every_occurrence(spark):
+    got, hashed = model(spark, [(1, True, "good " * 900 + "bad " * 20), (2, False, "bad " * 300 + "good " * 600)])
+    bad = int(np.uint64(hashed.select(F.xxhash64(F.lit("bad"))).first()[0] & (1 << 64) - 1))
+    grams, target = 2 * 1820 - 2, 2 * 920 - 1
+    weight = 0.25 * 2  # of the target's n-grams that are not rare: good, bad, a word after itself less the rare pair
+    near = [np.log((20 + w * 320 / grams) / (target + w) / (320 / grams)) for w in (weight, weight + 0.25)]
+    assert any(abs(got[bad] - x) < 1e-9 for x in near)
+
+
+def test_op2_verdict_on_a_word_does_not_depend_on_other_words(spark):
+    rows = [(1, True, "fine " * 4000), (2, False, "fine " * 3000 + "awful " * 60)]
+    few, hashed = model(spark, rows)
+    awful = hashed.select(F.xxhash64(F.lit("awful"))).first()[0] & (1 << 64) - 1
+    others = [(k, k % 2 == 0, " ".join(f"n{k}x{i}" for i in range(20000))) for k in range(10, 60)]
+    many, _ = model(spark, rows + others)
+    assert few[awful] < -1 and many[awful] < -1
