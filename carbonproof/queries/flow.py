@@ -12,18 +12,24 @@ from carbonproof.streaming import streams
 
 R = fx.Registry()
 T = fx.table
+#: Micro-batches of a stream, at most.
+BATCHES = 4
 
 
-def _landed(df: DataFrame, order: str, label: str, files: int = 4) -> tuple[str, str]:
-    """``df`` written as files in the order of a column; the path and the schema."""
-    path = scratch_path(df.sparkSession, label)
+def _files(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _landed(df: DataFrame, order: str, label: str) -> tuple[str, str]:
+    """``df`` written as files, one a shuffle partition, each of a range of a column; the path and the schema."""
+    path, files = scratch_path(df.sparkSession, label), _files(df.sparkSession)
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
     return path, df.schema.simpleString()[7:-1]
 
 
 def _stream(df: DataFrame, order: str, label: str) -> DataFrame:
     path, _ = _landed(df, order, label)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-_files(df.sparkSession) // BATCHES)).parquet(path)
 
 
 def _result(query_frame: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -95,8 +101,14 @@ def stream_item_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (item_done) AS items, round(CAST(sum(bytes) AS DOUBLE) / 21600, 4) AS rate FROM t GROUP BY 1, 2"
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _stream(fx.transfer_events(spark, sf_dir), "ts", "progress")
-    out = _result(streams.stream_progress(src, "6 hours", delay="40 days"), "windows", "update")  # files may come in any order
+    return progress_windows(fx.transfer_events(spark, sf_dir))
+
+
+def progress_windows(events: DataFrame) -> DataFrame:
+    """Each window's last state; files may come in any order, so the watermark waits for the whole span of the events."""
+    span = events.agg(F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).first()[0] or 0
+    src = _stream(events, "ts", "progress")
+    out = _result(streams.stream_progress(src, "6 hours", delay=f"{span + 1} seconds"), "windows", "update")
     last = F.max_by(F.struct("bytes", "items", "rate"), "batch").alias("last")
     per = out.groupBy("start", "stop").agg(last)
     return per.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "last.*")

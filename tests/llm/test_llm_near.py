@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from carbonproof.llm import html_extract, license_scan, line_dedup, quality_classifier, simhash
+from carbonproof.queries import flow
 
 
 def varied(rng, words, text, share):
@@ -102,3 +103,11 @@ def test_op2_verdict_on_a_word_does_not_depend_on_other_words(spark):
     others = [(k, k % 2 == 0, " ".join(f"n{k}x{i}" for i in range(20000))) for k in range(10, 60)]
     many, _ = model(spark, rows + others)
     assert few[awful] < -1 and many[awful] < -1
+
+
+def test_stream_progress_waits_for_the_span_of_the_events(spark):
+    ids = spark.range(400).withColumn("at", F.pmod(F.col("id") * 37, F.lit(400)))
+    columns = [F.timestamp_seconds(1704067200 + F.col("at") * 86400).alias("ts"), F.lit(1).cast("bigint").alias("bytes"), F.lit(True).alias("item_done")]
+    events = ids.select("id", *columns)
+    got = flow.progress_windows(events).agg(F.count("*"), F.sum("bytes")).first()
+    assert tuple(got) == (400, 400)
