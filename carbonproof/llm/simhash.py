@@ -146,6 +146,7 @@ def _shared(fps: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) with at most ``radius`` bits between ``a[i]`` and ``b[j]``; groups are pruned first."""
+    a, b = a.view(np.uint64), b.view(np.uint64)  # bitwise_count counts the bits of a signed number's absolute value
     (a_all, a_any), (b_all, b_any) = _shared(a, group), _shared(b, group)
     least = np.bitwise_count((a_all[:, None] & ~b_any[None, :]) | (b_all[None, :] & ~a_any[:, None]))
     left, right = [], []
@@ -286,7 +287,7 @@ def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
     keyed = materialise(shingle_keys(named, shingle), "shingle-keys")
     nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys"))
     nodes = materialise(nodes, "shingle-nodes")
-    seen = shared_buckets(nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id")))
+    seen = shared_buckets(nodes.select(F.explode_outer("keys").alias("key"), F.col("node").alias("id")).where("key is not null"))
     wanted = nodes.join(seen.select("id").distinct().toDF("node"), "node", "left_semi").select("id").distinct()
     sets = _shingle_sets(without_ids(named, wanted, "left_semi"), shingle).groupBy("node").agg(F.any_value("features").alias("features"))
     sets = materialise(sets, "shingle-sets")

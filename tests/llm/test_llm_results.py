@@ -206,9 +206,9 @@ def test_op7_equals_brute_force(spark, texts):
 
 def test_op7_index_on_dense_fingerprints(spark):
     rng = np.random.default_rng(4)
-    centre = rng.integers(0, 1 << 62, 30)
-    fps = sorted({int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centre for a, b in rng.integers(0, 63, (40, 2))})
-    df = spark.createDataFrame(list(enumerate(fps)), "id bigint, fp bigint")
+    centre = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+    fps = sorted({int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centre for a, b in rng.integers(0, 64, (40, 2))})
+    df = spark.createDataFrame([(k, int(np.uint64(fp).view(np.int64))) for k, fp in enumerate(fps)], "id bigint, fp bigint")
     got = {r["node"]: r["component"] for r in connected_components(simhash.near_links(df, leaf=16, fanout=3)).collect()}
     want = roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
     assert all(got.get(k, k) == want[k] for k in range(len(fps)))
