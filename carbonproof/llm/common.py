@@ -46,7 +46,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     with dropping_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``materialise`` wrote, once nothing reads them any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_folder)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_name(df: DataFrame, base: str) -> str:
@@ -57,6 +67,13 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once: they come out of a generator of one row, through which no later filter is pushed."""
+    held = fresh_name(df, "_held")
+    one = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select("*", F.explode_outer(one).alias(held)).select("*", *[F.col(held)[name].alias(name) for name in columns]).drop(held)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
     """``docs`` without (``left_anti``) or with only (``left_semi``) the ids in the one column of ``ids``, all columns kept."""
     key = fresh_name(docs, "_id")
@@ -101,9 +118,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
@@ -112,7 +127,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        links = materialise(small, label)
+        before, links = links, materialise(small, label)
+        discard(before)
         now = links.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") <= F.col("v"))
         ).first()
@@ -120,7 +136,9 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             break
         state = now
     roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = materialise(links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), label)
+    discard(links)
+    return out
 
 
 def digest(column: Column) -> Column:
