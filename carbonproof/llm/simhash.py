@@ -247,20 +247,20 @@ def min_hashes(features: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_keys(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``doc_id, node, keys``: a hash of the set of shingles, and a key for each band of minwise hashes."""
+    """``doc_id, node, size, keys``: a hash and the size of the set of shingles, and a key for each band of minwise hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = np.zeros(len(batch), np.uint64), []
+            nodes, sizes, keys = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64), []
             for k, x in enumerate(batch.column(1)):
                 features = shingle_set(x.as_py(), shingle)
-                nodes[k] = xxhash.xxh64_intdigest(features.tobytes())
+                nodes[k], sizes[k] = xxhash.xxh64_intdigest(features.tobytes()), len(features)
                 least = min_hashes(features, bands * rows) if len(features) else np.zeros(0, np.uint64)
                 keys.append([xxhash.xxh64_intdigest(least[i : i + rows].tobytes(), i) - (1 << 63) for i in range(0, len(least), rows)])
-            arrays = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "keys"])
+            arrays = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, size bigint, keys array<bigint>")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -285,9 +285,9 @@ def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
     """
     named = docs.where("doc_id is not null")
     keyed = materialise(shingle_keys(named, shingle), "shingle-keys")
-    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys"))
+    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     nodes = materialise(nodes, "shingle-nodes")
-    seen = shared_buckets(nodes.select(F.explode_outer("keys").alias("key"), F.col("node").alias("id")).where("key is not null"))
+    seen = shared_buckets(nodes.select(F.explode_outer("keys").alias("key"), F.col("node").alias("id"), "size").where("key is not null"))
     wanted = nodes.join(seen.select("id").distinct().toDF("node"), "node", "left_semi").select("id").distinct()
     sets = _shingle_sets(without_ids(named, wanted, "left_semi"), shingle).groupBy("node").agg(F.any_value("features").alias("features"))
     sets = materialise(sets, "shingle-sets")
@@ -296,9 +296,9 @@ def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
         a, b = (sets.toDF(name, f"{name}_set") for name in ("src", "dst"))
         both = pairs.join(a, "src").join(b, "dst").withColumn("common", F.size(F.array_intersect("src_set", "dst_set")))
         union = F.size("src_set") + F.size("dst_set") - F.col("common")
-        return both.where(F.col("common") >= union * similarity - 1e-9).select("src", "dst")
+        return both.where(F.col("common") >= union * similarity - 1e-9).select(*pairs.columns)
 
-    groups = near_groups(seen, verified)
+    groups = near_groups(seen, verified, similarity)
     merged = nodes.select("node", "id").join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     merged = merged.select("node", "id", F.coalesce("component", "node").alias("component"))
     heads = merged.groupBy("component").agg(F.min("id").alias("component_id"))
