@@ -139,7 +139,7 @@ def _merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
 def frequent_words(pieces: DataFrame, max_words: int) -> DataFrame:
     """``piece``: the most frequent pieces, fewer than ``max_words``, cut at a count found from a histogram."""
     counts = materialise(
-        pieces.select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= MAX_BYTES).groupBy("piece").agg(F.count("*").alias("n")), "words"
+        pieces.select(F.explode_outer("pieces").alias("piece")).where(F.octet_length("piece") <= MAX_BYTES).groupBy("piece").agg(F.count("*").alias("n")), "words"
     )
     bins = counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("bin")).agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect()
     total, least = 0, None

@@ -26,17 +26,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Writes inside this block remove their shuffle files as soon as they end, to hold less disk."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting has another value for what is written inside this block."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def dropping_shuffles(spark: SparkSession):
+    """Writes inside this block remove their shuffle files as soon as they end, to hold less disk."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What is written inside this block goes to Python workers in Arrow batches of at most ``rows`` rows."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonproof.llm.common import labelled_sample, materialise, whole_text, without_ids
+from carbonproof.llm.common import labelled_sample, materialise, small_batches, whole_text, without_ids
 
 #: Rows of labels that are used, at most.
 MAX_LABELLED = 20_000
@@ -32,6 +32,9 @@ GOOD_WEIGHT = 6.0
 #: N-grams of evidence that a document's mean log ratio stands for when noise of scale 1 is added.
 EVIDENCE = 2000.0
 
+#: Words of which a worker holds the n-grams at once.
+PART_WORDS = 1 << 18
+
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +67,17 @@ def _grams(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(grams == 0, np.uint64(1), grams), np.concatenate([rows, rows[stemmed], rows[1:][pair]])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of about PART_WORDS words (their last column), one row at least."""
+    for batch in batches:
+        offsets, start = batch.column(batch.num_columns - 1).offsets.to_numpy(), 0
+        while start < len(batch):
+            stop = int(np.searchsorted(offsets, offsets[start] + 2 * PART_WORDS, "right")) - 1
+            stop = min(max(stop, start + 1), len(batch))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _model_counts(hashed: DataFrame, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of the n-grams with a log ratio below 0, and the ratios.
 
@@ -73,7 +87,7 @@ def _model_counts(hashed: DataFrame, prior: float = PRIOR) -> tuple[np.ndarray,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             grams, rows = _grams(batch.column(1))
             chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[rows]
             distinct, at, n = np.unique(grams, return_inverse=True, return_counts=True)
@@ -114,7 +128,7 @@ def _scores(hashed: DataFrame, known: np.ndarray, ratio: np.ndarray) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ratio, marked = held.value
-        for batch in batches:
+        for batch in _parts(batches):
             grams, rows = _grams(batch.column(1))
             n = np.bincount(rows, minlength=len(batch))
             likely = marked[grams & np.uint64(len(marked) - 1)]
@@ -194,8 +208,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
         F.broadcast(target), F.col("doc_id") == F.col("_target"), "left"
     )
     hashed = source.select("doc_id", F.col("_target").isNotNull().alias("is_target"), _hashed_words(whole_text()).alias("words"))
-    scored = _scores(hashed, *_model_counts(hashed)).withColumn("sample_key", _ordered_bits(F.col("log_importance") * EVIDENCE + gumbel(F.col("doc_id"), seed)))
-    scored = materialise(scored, "importance")
+    with small_batches(docs.sparkSession):
+        scored = _scores(hashed, *_model_counts(hashed)).withColumn("sample_key", _ordered_bits(F.col("log_importance") * EVIDENCE + gumbel(F.col("doc_id"), seed)))
+        scored = materialise(scored, "importance")
     judged = scored.join(F.broadcast(sample.where(held_out)), "doc_id").select("log_importance", "quality", "toxic").toPandas()
     cut = best_cut(judged["log_importance"].to_numpy(), ((judged["quality"] == 1) & (judged["toxic"] == 0)).to_numpy()) if len(judged) else -np.inf
     if np.isinf(cut):

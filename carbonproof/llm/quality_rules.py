@@ -108,7 +108,8 @@ def learn_word_list(docs: DataFrame, sample: DataFrame, min_documents: int = 3,
     stems = F.transform(F.filter(words, lambda w: F.length(w) >= STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("~")))
     counted = (
         docs.join(F.broadcast(sample), "doc_id")
-        .select("toxic", F.explode(F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > 2), stems))).alias("word"))
+        .select("toxic", F.explode_outer(F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > 2), stems))).alias("word"))
+        .where("word is not null")
         .groupBy("word")
         .agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     )
