@@ -1,10 +1,10 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 Arrivals are appended as small shards. A compaction puts the shards in tiers by size, takes runs of
-neighbours of one tier and merges each run into shards of at most the target size; the shards it
+neighbours of one tier and merges each run into shards below twice the target size; the shards it
 replaces stay on disk for readers of older versions. A version of the manifest becomes visible in one
-step: its rows are written first, then a pointer file named after the version is created, which fails
-if another writer already has that version.
+step: its rows are written first, then a whole pointer file is renamed to the number of the version, which
+fails if another writer already has that version.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from carbonproof.llm.common import dropping_shuffles, materialise
 
 #: Sequence numbers in a stretch that is planned on its own; no run crosses its end.
 STRETCH = 1 << 16
+#: Columns that the store adds to the rows.
+RESERVED = ("_shard", "_sequence", "_part", "_folder", "_target", "_first")
 MANIFEST_SCHEMA = "shard_id string, folder string, sequence bigint, tier int, n_rows bigint, n_bytes bigint"
 
 
@@ -49,7 +51,7 @@ class ShardStore:
     """A folder of shards of one table and the versions of its manifest.
 
     All columns of the appended rows are kept, nulls and repeated rows too; a null arrival or size
-    counts as 0; names that begin with an underscore are reserved. An empty append commits a version
+    counts as 0; a negative arrival and columns named as in RESERVED are refused. An empty append commits a version
     without new shards, and reading a store without rows raises ``ValueError``.
     """
 
@@ -81,12 +83,17 @@ class ShardStore:
 
     def _commit(self, rows: DataFrame, base: int) -> int:
         """Make ``rows`` version ``base + 1``, or fail if that version exists."""
-        name = uuid.uuid4().hex
+        name = f"{base + 1:08d}-{uuid.uuid4().hex}"
         rows.select("shard_id", "folder", "sequence", "tier", "n_rows", "n_bytes").coalesce(1).write.parquet(f"{self.root}/manifests/{name}")
-        fs, p = self._fs(f"{self.root}/versions/{base + 1:08d}")
-        out = fs.create(p, False)
+        fs, draft = self._fs(f"{self.root}/drafts/{name}")
+        out = fs.create(draft, False)
         out.write(bytearray(name.encode()))
         out.close()
+        _, p = self._fs(f"{self.root}/versions/{base + 1:08d}")
+        fs.mkdirs(p.getParent())
+        if fs.exists(p) or not fs.rename(draft, p):
+            fs.delete(draft, False)
+            raise FileExistsError(f"version {base + 1} exists already")
         return base + 1
 
     def _write(self, rows: DataFrame, n_shards: int, size: Column) -> DataFrame:
@@ -109,6 +116,10 @@ class ShardStore:
         Arrivals are small by contract; values are dealt to tasks by rank, so no task gets two unless
         there are more arrivals than tasks. The order of arrivals is the order of shards.
         """
+        if taken := {c.lower() for c in rows.columns} & set(RESERVED):
+            raise ValueError(f"reserved column names: {sorted(taken)}")
+        if not rows.where(arrival.cast("bigint") < 0).isEmpty():
+            raise ValueError("negative arrivals")
         base, old = self.version(), self.manifest()
         start = old.agg(F.coalesce(F.max("sequence"), F.lit(-1))).first()[0] + 1
         dealt = rows.withColumn("_sequence", F.coalesce(arrival.cast("bigint"), F.lit(0)) + start)
@@ -141,9 +152,9 @@ class ShardStore:
     def compact(self, size: Column) -> bool:
         """Merge what ``plan`` names and commit; False if there is nothing to merge."""
         base, old = self.version(), self.manifest()
-        merges = self.plan().withColumn("target", F.dense_rank().over(Window.orderBy("first")) - 1).select("shard_id", "folder", "target", "first")
-        merges = materialise(merges, "merges")
-        n = merges.agg(F.count_distinct("target")).first()[0]
+        merges = self.plan().withColumn("_target", F.dense_rank().over(Window.orderBy("first")) - 1)
+        merges = materialise(merges.select("shard_id", "folder", "_target", F.col("first").alias("_first")), "merges")
+        n = merges.agg(F.count_distinct("_target")).first()[0]
         if not n:
             return False
         folders = [r[0] for r in merges.select("folder").distinct().collect()]
@@ -152,11 +163,11 @@ class ShardStore:
             part = self.spark.read.option("basePath", f"{self.root}/{folder}").parquet(f"{self.root}/{folder}")
             part = part.withColumn("_shard", F.col("_shard").cast("string")).withColumn("_folder", F.lit(folder))
             live = part if live is None else live.unionByName(part)
-        into = merges.select(F.col("shard_id").alias("_shard"), F.col("folder").alias("_folder"), "target", "first")
-        moved = live.join(F.broadcast(into), ["_shard", "_folder"]).withColumn("_part", F.col("target"))
-        moved = moved.withColumn("_sequence", F.col("first")).withColumn("_shard", shard_name(F.col("first"))).drop("target", "first", "_folder")
+        into = merges.select(F.col("shard_id").alias("_shard"), F.col("folder").alias("_folder"), "_target", "_first")
+        moved = live.join(F.broadcast(into), ["_shard", "_folder"]).withColumn("_part", F.col("_target"))
+        moved = moved.withColumn("_sequence", F.col("_first")).withColumn("_shard", shard_name(F.col("_first"))).drop("_target", "_first", "_folder")
         new = self._write(moved, n, size)
-        kept = old.join(F.broadcast(merges.select("shard_id")), "shard_id", "left_anti")
+        kept = old.join(F.broadcast(merges.select("shard_id", "folder")), ["shard_id", "folder"], "left_anti")
         self._commit(kept.unionByName(new, allowMissingColumns=True), base)
         return True
 

@@ -90,6 +90,22 @@ def test_shards_of_odd_rows(spark, docs):
     assert sorted(map(str, store.read().select(docs.columns).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_shards_of_columns_with_clashing_names(spark):
+    rows = spark.range(60).select("id", F.lit("x").alias("target"), F.col("id").alias("first"), F.lit("t").alias("text"), F.lit(1).alias("n_bytes"))
+    store, size = sharding.ShardStore(spark, scratch_path(spark, "clash"), sharding.Policy(12, 2, 2)), F.octet_length("text")
+    store.append(rows, F.floor(F.col("id") / 3), size)
+    store.compact_all(size)
+    assert sorted(map(tuple, store.read().select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert store.manifest().agg(F.max("n_bytes")).first()[0] < 2 * 12
+    for bad, arrival in ((rows.withColumn("_Shard", F.lit(1)), F.col("id")), (rows, F.col("id") - 5)):
+        with pytest.raises(ValueError):
+            store.append(bad, arrival, size)
+    before = store.version()
+    fs, p = store._fs(f"{store.root}/drafts/crashed")  # a writer that stopped before it renamed its pointer
+    fs.create(p, False).close()
+    assert store.version() == before and store.manifest().count() > 0
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, "http://h/a", None), (2, None, "<p>x</p>"), (None, "http://h/b", "<p>y</p>"), (3, "http://h/c", ""), (3, "http://h/c", ""), (4, "::", "<p>z" + " w" * 50_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
