@@ -32,7 +32,7 @@ def canonical_value(df: DataFrame, name: str) -> Column:
 
 def framed(value: Column) -> Column:
     """Length-prefixed field, so that neighbouring fields cannot run together; a fixed mark for NULL."""
-    return F.when(value.isNull(), F.lit("N;")).otherwise(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value))
+    return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("N;"))
 
 
 def canonical_row(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -51,9 +51,23 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def checksum(text: Column) -> Column:
-    """Order-free checksum of a group of texts: a sum, so that a doubled row does not cancel out."""
-    return F.coalesce(F.sum(hash60(text).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+def row_hashes(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and ``_hash``, the 60-bit hash of the canonical row; each field is formatted once."""
+    columns = list(columns or df.columns)
+    fields = df.select(*keep, *[canonical_value(df, c).alias(f"_field{k}") for k, c in enumerate(columns)])
+    return fields.select(*keep, hash60(F.concat(*[framed(F.col(f"_field{k}")) for k in range(len(columns))])).alias("_hash"))
+
+
+def checksum(hashed: str) -> Column:
+    """Order-free checksum of a group of 60-bit hashes: their sum, so that a doubled row does not cancel out.
+
+    Three parts of 20 bits are summed as longs, which 2^43 rows cannot overflow, and put together once a group.
+    """
+    total = F.lit(0).cast("decimal(38,0)")
+    for shift in (0, 20, 40):
+        part = F.coalesce(F.sum(F.shiftright(hashed, shift).bitwiseAND((1 << 20) - 1)), F.lit(0)).cast("decimal(38,0)")
+        total = total + (part * F.lit(1 << shift).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return total.cast("decimal(38,0)")
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], name: str, start: int = 0, partitions: int | None = None) -> DataFrame:

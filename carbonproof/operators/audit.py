@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonproof.functions.canon import canonical_row, checksum, dense_ids, digest_tree, hash60
+from carbonproof.functions.canon import canonical_row, checksum, dense_ids, digest_tree, hash60, row_hashes
+from carbonproof.functions.scratch import materialise
 
 
 class SourceChanged(RuntimeError):
@@ -22,7 +23,7 @@ def row_digests(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row ``n_rows, checksum`` that does not depend on the order of rows or on partitions."""
-    return df.agg(F.count("*").alias("n_rows"), checksum(canonical_row(df, columns)).alias("checksum"))
+    return row_hashes(df, columns).agg(F.count("*").alias("n_rows"), checksum("_hash").alias("checksum"))
 
 
 def schema_text(df: DataFrame) -> str:
@@ -41,7 +42,7 @@ def _per_table(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def database_fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:
     """A row per table, and one with the overall digest of the tables in order of their names as ``database_digest``."""
-    each = _per_table(tables)
+    each = materialise(_per_table(tables), "fingerprints")
     d = F.sha2(F.concat_ws("|", "table", F.col("n_rows").cast("string"), F.col("checksum").cast("string"), "schema_digest"), 256)
     root = digest_tree(dense_ids(each.select("table", d.alias("d")), ["table"], "id", partitions=1))
     return each.join(root.select(F.col("root").alias("database_digest")), F.lit(True))
@@ -63,7 +64,7 @@ def sampled_fingerprint(df: DataFrame, key: str, modulus: int) -> DataFrame:
 
 def partition_fingerprints(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """The fingerprint of each group, to find where a table changed."""
-    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), checksum(canonical_row(df)).alias("checksum"))
+    return row_hashes(df, keep=by).groupBy(*by).agg(F.count("*").alias("n_rows"), checksum("_hash").alias("checksum"))
 
 
 def listing_fingerprint(inventory: DataFrame, columns: Sequence[str] = ("rel_path", "kind", "size", "full_hash")) -> DataFrame:

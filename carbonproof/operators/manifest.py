@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from carbonproof.functions.canon import dense_ids, digest_tree, framed
 
+# The kinds of entries of a manifest.
 KINDS = ("file", "directory", "symlink", "char_device", "block_device")
 
 

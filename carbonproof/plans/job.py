@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carbonproof.functions.scratch import materialise
 from carbonproof.operators.audit import SourceChanged, audit_immutability, partition_fingerprints, reconcile, require_unchanged
 from carbonproof.plans.plan import build_plan_items, size_estimates
 from carbonproof.plans.preflight import FORMAT_VERSION, preflight_checks, preflight_decision
-from carbonproof.sources.sinks import staged_commit
+from carbonproof.sources.sinks import HadoopPaths, staged_commit
 
 
 class CopyRefused(RuntimeError):
@@ -19,7 +20,11 @@ class CopyRefused(RuntimeError):
 
 @dataclass(frozen=True)
 class CopyOptions:
-    """``group`` is the column whose groups are planned and audited one by one."""
+    """``group`` is the column whose groups are planned and audited one by one.
+
+    ``expects`` has the columns and types that the destination takes; without it they are those of the
+    rows that the target holds, if it is there and not to be replaced.
+    """
 
     group: str
     accept: bool = True
@@ -27,20 +32,27 @@ class CopyOptions:
     available_bytes: int = 1 << 62
     src_version: int = 1
     dst_version: int = 1
+    expects: Mapping[str, str] | None = None
+
+
+def _types(df: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in df.schema}
 
 
 def copy_dataset(read: Callable[[], DataFrame], path: str, options: CopyOptions, name: str = "data") -> DataFrame:
     """Copy what ``read`` returns to Parquet at ``path``; one row per table with the reconciliation.
 
-    Fingerprints are taken before and after with a fresh reader each; a source that changed meanwhile
+    The preflight looks at what the target holds; nothing is written if it fails. Fingerprints are taken before and after with a fresh reader each; a source that changed meanwhile
     is an error of its own, as is a refusal. Nothing is promoted before the staged copy equals the source.
     """
     source = read()
-    before = partition_fingerprints(source, [options.group]).collect()
+    spark = source.sparkSession
+    before = materialise(partition_fingerprints(source, [options.group]), "before")
     items = build_plan_items(size_estimates(source, [options.group]), "data", options.group)
-    types = {f.name: f.dataType.simpleString() for f in source.schema}
+    held = spark.read.parquet(path) if HadoopPaths(spark).exists(path) else None
+    there = _types(source) if held is None or options.overwrite else _types(held)
     checks = preflight_checks(
-        items, types, types, source.limit(0),
+        items, _types(source), options.expects or there, source.limit(0) if held is None else held,
         {"available_bytes": options.available_bytes, "overwrite": options.overwrite, "src_version": options.src_version,
          "dst_version": options.dst_version, "format_version": FORMAT_VERSION},
     )
@@ -48,9 +60,8 @@ def copy_dataset(read: Callable[[], DataFrame], path: str, options: CopyOptions,
     if not decision["accepted"]:
         raise CopyRefused(decision["reason"])
     staged_commit(source, path, lambda copy: bool(reconcile({name: source}, {name: copy}).first()["match"]), options.overwrite)
-    spark = source.sparkSession
     after = partition_fingerprints(read(), [options.group])
-    require_unchanged(audit_immutability(spark.createDataFrame(before, after.schema), after, [options.group]))
+    require_unchanged(audit_immutability(before, after, [options.group]))
     return reconcile({name: read()}, {name: spark.read.parquet(path)})
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carbonproof.functions.canon import canonical_row, dense_ids
 from carbonproof.operators.manifest import ancestors
+from carbonproof.plans.preflight import FORMAT_VERSION
 
 # The kinds of restored objects in the order in which they are restored.
 RESTORE_ORDER = ("role", "database", "schema", "table", "data", "constraint", "index", "sequence", "grant")
@@ -58,6 +59,23 @@ def human_size(size: Column) -> Column:
     return out
 
 
+def plan_header(items: DataFrame, module: str, mode: str, created_at: str, summary: str, algorithm: str = "sha256") -> DataFrame:
+    """One row that describes a plan: version, module, mode, creation, summary, number and bytes of items, integrity."""
+    fixed = {"format_version": FORMAT_VERSION, "module": module, "mode": mode, "created_at": created_at, "source_summary": summary, "integrity": algorithm}
+    totals = items.agg(F.count("*").alias("n_items"), F.coalesce(F.sum("estimated_bytes"), F.lit(0)).cast("bigint").alias("estimated_bytes"))
+    return totals.select(*[F.lit(v).alias(k) for k, v in fixed.items()], "n_items", "estimated_bytes")
+
+
+def render_header(header: DataFrame) -> DataFrame:
+    """``line_no, line``: the display lines above the items of a plan."""
+    lines = [
+        F.concat_ws("  ", F.lit("Backup plan"), F.concat(F.lit("module="), "module"), F.concat(F.lit("mode="), "mode"), F.concat(F.lit("created="), "created_at")),
+        F.concat(F.lit("  "), "source_summary"),
+        F.concat(F.lit("  items: "), F.col("n_items").cast("string"), F.lit("   estimated: "), human_size(F.col("estimated_bytes")), F.lit("   integrity: "), "integrity"),
+    ]
+    return header.select(F.posexplode_outer(F.array(*lines)).alias("line_no", "line"))
+
+
 def render_plan(items: DataFrame) -> DataFrame:
     """``id, line``: one display line per item."""
     return items.select("id", F.concat_ws(" ", F.concat(F.lit("["), "kind", F.lit("]")), "name", F.concat(F.lit("("), human_size(F.col("estimated_bytes")), F.lit(")"))).alias("line"))

@@ -13,6 +13,8 @@ from carbonproof.sources import readers, sinks
 
 R = fx.Registry()
 T = fx.table
+#: The embedded database that comes with Spark.
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> str:
@@ -37,6 +39,26 @@ def read_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _relational(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The URL of a new database with the table, written there; it lies in the shared scratch folder."""
+    folder = "/" + scratch_path(spark, "relational").removeprefix("file:").lstrip("/")
+    url = f"jdbc:derby:{folder};create=true"
+    sinks.write_table(T(spark, sf_dir, name).coalesce(1), url, name, driver=DERBY)
+    return url
+
+
+@R.add("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.read_table(spark, _relational(spark, sf_dir, "orders"), "orders", "o_orderkey", 4, DERBY)
+    return found.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@R.add("SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, CAST(count(DISTINCT c_name) AS BIGINT) AS names, CAST(sum(c_nationkey) AS BIGINT) AS nations FROM customer")
+def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = spark.read.format("jdbc").options(url=_relational(spark, sf_dir, "customer"), driver=DERBY, dbtable="customer").load()
+    return back.agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.count_distinct("c_name").alias("names"), F.sum("c_nationkey").alias("nations"))
+
+
 @R.add("SELECT conv_id, turn, role, text FROM conversations")
 def read_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "collection")
@@ -156,6 +178,16 @@ def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.render_plan(_objects(spark, sf_dir))
 
 
+@R.add(
+    f"WITH {_OBJECTS}, t AS (SELECT count(*) AS n, CAST(coalesce(sum(estimated_bytes), 0) AS BIGINT) AS estimated_bytes FROM o) "
+    f"SELECT unnest(['Backup plan  module=data  mode=full  created=2024-01-01T00:00:00Z', '  parts', '  items: ' || n || '   estimated: ' || CASE WHEN estimated_bytes >= {1024**3} THEN {_scaled('GiB', 3)} "
+    f"WHEN estimated_bytes >= {1024**2} THEN {_scaled('MiB', 2)} WHEN estimated_bytes >= 1024 THEN {_scaled('KiB', 1)} ELSE estimated_bytes || ' B' END || '   integrity: sha256']) AS line FROM t"
+)
+def plan_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = plan.plan_header(_objects(spark, sf_dir), "data", "full", "2024-01-01T00:00:00Z", "parts")
+    return plan.render_header(header).select("line")
+
+
 @R.add(
     f"WITH {fx.MANIFEST}, u AS (SELECT unnest(['', string_split(rel_path, '/')[1], string_split(rel_path, '/')[1] || '/' || string_split(rel_path, '/')[2]]) AS directory, size FROM manifest WHERE kind = 'file') "
     "SELECT directory, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM u GROUP BY 1"

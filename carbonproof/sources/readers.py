@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,11 @@ def _files(spark: SparkSession, uri: str, glob: str | None) -> DataFrame:
 
 
 def _relative(uri: str):
-    """The path below the root: what follows the root's own path, whatever scheme either is written with."""
-    root = "/" + uri.split("://", 1)[-1].split("/", 1)[-1].strip("/") + "/" if "://" in uri else "/" + uri.removeprefix("file:").strip("/") + "/"
-    return F.substring_index("path", root, -1)
+    """The path below the root: what follows the first place of the root's own path, whatever scheme either is written with."""
+    scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+    root = "/" + re.sub(scheme, "", uri).strip("/") + "/"
+    place = F.regexp_replace("path", scheme, "")
+    return F.substring(place, F.locate(root, place) + len(root), F.length(place))
 
 
 def read_inventory(spark: SparkSession, uri: str, prefix: str | None = None, glob: str | None = None) -> DataFrame:
@@ -58,11 +62,11 @@ def read_collection(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def select_kinds(inventory: DataFrame, symlinks: str = "exclude", devices: str = "exclude") -> DataFrame:
-    """Drop symbolic links and devices where they are to be excluded; excluding the root is an error."""
+    """Drop symbolic links and devices where they are to be excluded; excluding the root is an error. A NULL kind stays."""
     excluded = (["symlink"] if symlinks == "exclude" else []) + (["char_device", "block_device"] if devices == "exclude" else [])
     if excluded and inventory.where((F.col("rel_path") == "") & F.col("kind").isin(excluded)).limit(1).count():
         raise ValueError("the root itself is of an excluded kind")
-    return inventory.where(~F.col("kind").isin(excluded)) if excluded else inventory
+    return inventory.where(~F.coalesce(F.col("kind").isin(excluded), F.lit(False))) if excluded else inventory
 
 
 def merge_sources(inventories: list[DataFrame], names: list[str]) -> DataFrame:

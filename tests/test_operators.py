@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from carbonproof.functions import canon
 from carbonproof.functions.canon import dense_ids, digest_tree, exact_row_hash
 from carbonproof.operators import audit, chunks, manifest, resume
 from carbonproof.plans import job, plan, preflight
@@ -174,6 +175,35 @@ def test_inventory_and_payloads(spark, tmp_path):
     assert {r["rel_path"]: r["chunk_count"] for r in readers.read_payloads(spark, f"file://{tmp_path}", 2).collect()} == {"a/x.txt": 3, "y.bin": 2}
 
 
+def test_inventory_of_nested_equal_names(spark, tmp_path):
+    root = tmp_path / "data"
+    for at in ("y.bin", "data/y.bin", f"{str(root).strip('/')}/y.bin"):
+        (root / at).parent.mkdir(parents=True, exist_ok=True)
+        (root / at).write_bytes(b"abc")
+    got = {r["rel_path"] for r in readers.read_inventory(spark, f"file://{root}").collect()}
+    assert got == {"y.bin", "data/y.bin", f"{str(root).strip('/')}/y.bin"}
+    kinds = spark.createDataFrame([("a", None), ("b", "symlink")], "rel_path string, kind string")
+    assert [r["rel_path"] for r in readers.select_kinds(kinds).collect()] == ["a"]
+
+
+def test_preflight_refuses_before_writing(spark, sf_dir, tmp_path):
+    t, path = spark.read.parquet(f"{sf_dir}/nation.parquet"), f"file://{tmp_path}/n"
+    t.limit(2).write.parquet(path)
+    with pytest.raises(job.CopyRefused):
+        job.copy_dataset(lambda: t, path, job.CopyOptions("n_regionkey", overwrite=False))
+    with pytest.raises(job.CopyRefused):
+        job.copy_dataset(lambda: t, f"{path}2", job.CopyOptions("n_regionkey", expects={"n_nationkey": "string"}))
+    with pytest.raises(FileExistsError):
+        sinks.staged_commit(t, path, lambda copy: True, overwrite=False)
+    assert [p.name for p in tmp_path.iterdir()] == ["n"] and spark.read.parquet(path).count() == 2
+
+
+def test_checksum_is_the_sum_of_the_hashes(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = canon.row_hashes(t)
+    assert audit.table_fingerprint(t).first()["checksum"] == sum(r["_hash"] for r in rows.collect())
+
+
 def test_changing_source_is_caught(spark, sf_dir, tmp_path):
     t = spark.read.parquet(f"{sf_dir}/nation.parquet")
     reads = iter([t, t.where("n_nationkey <> 3")])
