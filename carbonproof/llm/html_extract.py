@@ -2,8 +2,8 @@
 
 Pages of a host are ordered by URL path and each is paired with its nearest neighbour of other content.
 The text lines of the two are aligned by a longest common subsequence, and lines that they share are the
-site's, not the page's: they are deleted, inside an article too unless the neighbour shares nearly all
-of it, since two addresses may show one article. Lines inside menus, adverts and other chrome always go.
+site's, not the page's: they are deleted. Lines inside an article element stay, since two articles may well
+have a line in common; those inside menus, adverts and other chrome always go.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ _SPACE = re.compile(r"\s+")
 _WORDS = frozenset(CHROME_WORDS)
 #: Roles of a line: inside an article, inside chrome, or neither.
 ARTICLE, IN_CHROME, OPEN = "a", "c", "o"
-#: Share of the lines of two pages, or of an article, from which they count as the same.
+#: Share of the lines of two pages from which they count as the same.
 NEARLY = 0.9
 
 
@@ -234,10 +234,7 @@ def _differenced(rows: DataFrame) -> DataFrame:
 
     def text(lines: list[str], roles: str, mine: list[int], other: list[int] | None) -> str:
         shared = set(common_lines(mine, other)) if other else set()
-        inside = {k for k, r in enumerate(roles) if r == ARTICLE}
-        if len(inside & shared) >= NEARLY * len(inside):  # both show one article
-            shared -= inside
-        return "\n".join(x for k, x in enumerate(lines) if k not in shared)
+        return "\n".join(x for k, (x, role) in enumerate(zip(lines, roles, strict=True)) if role == ARTICLE or k not in shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +249,8 @@ def _differenced(rows: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Main text of every whole page: ``(id_col, url, text, n_chars)``.
 
-    Blocks outside of chrome, joined by \\n, less those that the page shares with its nearest neighbour
-    of other content; an article that the neighbour shows too, nearly whole, stays. Null html counts as empty and has the
+    Blocks outside of chrome, joined by \\n, less those outside of an article that the page shares with its
+    nearest neighbour of other content. Null html counts as empty and has the
     empty text; a null URL belongs to the host without a name; repeated rows give a row each; of rows
     that repeat an id with other contents the first by order serves as the neighbour's mate; an empty
     table gives an empty table; other columns are ignored.
