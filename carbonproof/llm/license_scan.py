@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 Hundreds of patterns are written from small tables of licence families, versions and wordings. Each
-has a keyword, one word of its own: a pattern is tried only on texts that contain this word, and a
-text without any keyword costs one alternation. Rules are ordered by priority. A detection that lies inside a
+has a keyword, one word of its own, and most a second word beside it: a pattern is tried only on texts that
+contain both, and a text without any keyword costs one alternation. Rules are ordered by priority. A detection that lies inside a
 detection of a higher priority, or inside a longer one of the same priority, is suppressed.
 """
 
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonproof.llm.common import whole_text
+from carbonproof.llm.common import computed, whole_text
 
 #: A word character once A-Z are lower-cased: ASCII letters and digits, and all that is not ASCII.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -58,9 +58,14 @@ WORDINGS = (
     ("released under the {name}", 30, 0.9),
     ("distributed under the {name}", 30, 0.9),
     ("under the terms of the {name}", 30, 0.9),
+    ("licensed under {name}", 30, 0.9),
+    ("released under {name}", 30, 0.9),
+    ("license {name}", 25, 0.85),
     ("{name} license", 20, 0.8),
     ("{name} licence", 20, 0.8),
 )
+# The second words of gates.
+CONTEXTS = ("under", "license", "licence")
 # Creative Commons conditions and versions.
 CC_CONDITIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
@@ -88,13 +93,18 @@ SIGNATURES = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: its pattern is tried on texts that contain ``keyword`` in any case of A-Z."""
+    """A signature: its pattern is tried on texts that contain ``keyword`` and ``context`` in any case of A-Z."""
 
     label: str
     keyword: str
     pattern: str
     priority: int
     confidence: float
+    context: str = ""
+
+
+def _context(words: str) -> str:
+    return next((c for c in CONTEXTS if c in words.split()), "")
 
 
 def _pattern(words: str) -> str:
@@ -104,16 +114,18 @@ def _pattern(words: str) -> str:
 
 def rules() -> list[Rule]:
     """All rules, the most important first."""
-    out = [Rule(label, phrase.split()[0], _pattern(phrase), 15, 0.8) for phrase, label in BASE_PHRASES.items()]
+    out = [Rule(label, phrase.split()[0], _pattern(phrase), 15, 0.8, _context(phrase)) for phrase, label in BASE_PHRASES.items()]
     out += [Rule(label, max(words.split(), key=len), _pattern(words), priority, sure) for words, label, priority, sure in SIGNATURES]
     for label, names, versions in FAMILIES:
         for name in names:
             keyword = max(name.split(), key=len)
             for wording, priority, sure in WORDINGS:
-                out.append(Rule(label, keyword, _pattern(wording.format(name=name)), priority, sure))
+                out.append(Rule(label, keyword, _pattern(wording.format(name=name)), priority, sure, _context(wording)))
             for version in versions:
                 short = version.removesuffix(".0") if version.endswith(".0") else version
                 body = f"{name} license version {version}|{name} license v{version}|{name} version {version}|{name} v{version}|{name} {version}"
+                if " " not in name:  # GPLv3, LGPLv2.1
+                    body += f"|{name}v{version}|{name}{version}"
                 out.append(Rule(f"{label}-{short}", keyword, "(?i)" + "|".join(_pattern(x)[4:] for x in body.split("|")), 35, 0.95))
     for condition in CC_CONDITIONS:
         label = "cc-" + condition.replace(" ", "-")
@@ -157,15 +169,18 @@ def detections(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(
-        [(r.keyword, r.pattern, r.label, r.priority, r.confidence) for r in rules()],
-        "keyword string, pattern string, label string, priority int, confidence double",
+        [(r.keyword, r.pattern, r.label, r.priority, r.confidence, r.context) for r in rules()],
+        "keyword string, pattern string, label string, priority int, confidence double, context string",
     )
     keywords = sorted({r.keyword for r in rules()})
-    gate = f"(?i){START}(?:" + "|".join(keywords) + f"){END}"
-    present = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(gate), F.lit(0)), lambda k: F.lower(k)))
+    gate = f"(?i){START}(" + "|".join(keywords) + f")(?:v?[0-9][0-9.]*)?{END}"
+    present = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(gate), F.lit(1)), lambda k: F.lower(k)))
+    contexts = F.array_compact(F.array(F.lit(""), *[F.when(F.contains("lowered", F.lit(c)), F.lit(c)) for c in CONTEXTS]))
     likely = docs.withColumn("lowered", F.lower("content")).where(reduce(lambda a, b: a | b, [F.contains("lowered", F.lit(k)) for k in keywords]))
-    held = likely.select("doc_key", "content", present.alias("present")).where(F.size("present") > 0).dropDuplicates(["doc_key"])
-    tried = held.select("doc_key", "content", F.explode("present").alias("keyword")).join(F.broadcast(table), "keyword")
+    held = computed(likely, present=present, contexts=contexts).select("doc_key", "content", "present", "contexts")
+    held = held.where(F.size("present") > 0).dropDuplicates(["doc_key"])
+    tried = held.select("doc_key", "content", "contexts", F.explode_outer("present").alias("keyword"))
+    tried = tried.join(F.broadcast(table), "keyword").where(F.array_contains("contexts", F.col("context")))
     found = F.regexp_extract_all("content", F.col("pattern"), F.lit(0))
     around = F.transform(F.split("content", F.col("pattern")), lambda x: F.length(x))
     sizes = F.transform("found", lambda x: F.length(x))
