@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from carbonproof.llm import html_extract, license_scan, line_dedup, quality_classifier, simhash
@@ -107,13 +108,17 @@ def test_op9_rules_equal_brute_force(spark, sf_dir):
 
 def model(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, is_target boolean, text string")
-    hashed = docs.select("doc_id", "is_target", quality_classifier._hashed_words(F.col("text")).alias("words"))
-    return dict(zip(*(x.tolist() for x in quality_classifier._model_counts(hashed)), strict=True)), hashed
+    texts = docs.withColumn("text", F.col("text").cast("binary"))
+    return dict(zip(*(x.tolist() for x in quality_classifier._model_counts(texts, texts.where("is_target"))), strict=True))
+
+
+def hashed_word(word):
+    return int(next(quality_classifier._grams(pa.array([word.encode()])))[0][0])
 
 
 def test_op2_models_count_every_occurrence(spark):
-    got, hashed = model(spark, [(1, True, "good " * 900 + "bad " * 20), (2, False, "bad " * 300 + "good " * 600)])
-    bad = int(np.uint64(hashed.select(F.xxhash64(F.lit("bad"))).first()[0] & (1 << 64) - 1))
+    got = model(spark, [(1, True, "good " * 900 + "bad " * 20), (2, False, "bad " * 300 + "good " * 600)])
+    bad = hashed_word("bad")
     grams, target = 2 * 1820 - 2, 2 * 920 - 1
     weight = 0.25 * 2  # of the target's n-grams that are not rare: good, bad, a word after itself less the rare pair
     near = [np.log((20 + w * 320 / grams) / (target + w) / (320 / grams)) for w in (weight, weight + 0.25)]
@@ -122,10 +127,10 @@ def test_op2_models_count_every_occurrence(spark):
 
 def test_op2_verdict_on_a_word_does_not_depend_on_other_words(spark):
     rows = [(1, True, "fine " * 4000), (2, False, "fine " * 3000 + "awful " * 60)]
-    few, hashed = model(spark, rows)
-    awful = hashed.select(F.xxhash64(F.lit("awful"))).first()[0] & (1 << 64) - 1
+    few = model(spark, rows)
+    awful = hashed_word("awful")
     others = [(k, k % 2 == 0, " ".join(f"n{k}x{i}" for i in range(20000))) for k in range(10, 60)]
-    many, _ = model(spark, rows + others)
+    many = model(spark, rows + others)
     assert few[awful] < -1 and many[awful] < -1
 
 
@@ -135,3 +140,51 @@ def test_stream_progress_waits_for_the_span_of_the_events(spark):
     events = ids.select("id", *columns)
     got = flow.progress_windows(events).agg(F.count("*"), F.sum("bytes")).first()
     assert tuple(got) == (400, 400)
+
+
+def test_op2_grams_equal_brute_force(monkeypatch):
+    import re
+    from collections import Counter
+
+    texts = ["", "a b  a", "Wörter wörter x" * 40, "— “quoted” no\u00a0break", "!!! wow!!! " * 30, "x" * 500 + " y", "\n\t", "日本語、テキスト", "straße" * 30 + "... end"]
+    pattern = re.compile("[a-zA-Z0-9]|(?![\u0080-\u00bf\u2000-\u207f\u3000-\u303f])[^\x00-\x7f]")
+
+    def brute(text):
+        words, last = [], 0
+        for c in text:
+            kind = 0 if c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " else 1 if pattern.match(c) else 2
+            if kind and kind == last:
+                words[-1] += c
+            elif kind:
+                words.append(c)
+            last = kind
+        pairs = ["again" if a == b else (a, b) for a, b in zip(words, words[1:], strict=False)]
+        return Counter(words) + Counter(("stem", w[:5]) for w in words if len(w) >= 5) + Counter(pairs)
+
+    for stretch in (1 << 20, 16, 5):
+        monkeypatch.setattr(quality_classifier, "STRETCH", stretch)
+        got = {}
+        array = pa.array([t.encode() for t in ["skipped", *texts]])[1:]
+        for grams, rows in quality_classifier._grams(array):
+            for g, r in zip(grams.tolist(), rows.tolist(), strict=True):
+                got.setdefault(r, Counter())[g] += 1
+        for row, text in enumerate(texts):
+            want = brute(text)
+            assert sorted(want.values()) == sorted(got.get(row, Counter()).values()), (stretch, text[:20])
+        everything = sum((brute(t) for t in texts), Counter())
+        assert sorted(everything.values()) == sorted(sum(got.values(), Counter()).values())
+
+
+def test_op2_filter_passes_every_frequent_gram(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(quality_classifier, "PART_GRAMS", 500)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(60)).encode()) for k in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text binary").repartition(7)
+    passing = quality_classifier._frequent_filter(texts, 0.002)
+    grams, n = np.unique(np.concatenate([g for g, _ in quality_classifier._grams(pa.array([t for _, t in rows]))]), return_counts=True)
+    bit = grams & np.uint64(quality_classifier.FILTER_BITS - 1)
+    passes = (passing[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    assert passes[n > 0.002 * n.sum()].all() and passes.mean() < 0.5
+    counted = {r["gram"]: r["n"] for r in quality_classifier._counts(texts, passing).collect()}
+    assert counted.pop(0) == n.sum()
+    assert counted == dict(zip(grams[passes].view(np.int64).tolist(), n[passes].tolist(), strict=True))
