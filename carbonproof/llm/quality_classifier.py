@@ -34,9 +34,9 @@ GOOD_WEIGHT = 6.0
 EVIDENCE = 2000.0
 
 #: Bytes of text that a worker takes apart at once, and n-grams that it sorts at once.
-STRETCH, PART_GRAMS = 1 << 20, 1 << 21
+STRETCH, PART_GRAMS = 1 << 18, 1 << 19
 #: Part of the least share of a frequent n-gram by which a task may overrate its counts.
-SLACK = 1 / 3
+SLACK = 1 / 2
 #: Bits of the filter that frequent n-grams pass; others that pass cost time only.
 FILTER_BITS = 1 << 24
 
@@ -160,7 +160,7 @@ def _counts(texts: DataFrame, passing: np.ndarray | None = None) -> DataFrame:
             total += seen
             fresh, count = np.unique(part, return_counts=True)
             grams, (n,) = _added(np.concatenate([grams, fresh]), [np.concatenate([n, count])])
-            if len(grams) > PART_GRAMS:
+            if len(grams) > 2 * PART_GRAMS:
                 yield rows(grams, n)
                 grams, n = grams[:0], n[:0]
         yield rows(grams, n)
@@ -183,7 +183,7 @@ def _frequent_filter(texts: DataFrame, share: float) -> np.ndarray:
             forgotten = int(SLACK * share * total)
             total += seen
             fresh, n = np.unique(part, return_counts=True)
-            old = np.concatenate([np.ones(len(grams), np.int64), np.zeros(len(fresh), np.int64)])
+            old = np.repeat(np.array([1, 0], np.int8), [len(grams), len(fresh)])
             grams, (most, old) = _added(np.concatenate([grams, fresh]), [np.concatenate([most, n]), old])
             most = most + (old == 0) * forgotten
             stays = most > int(SLACK * share * total)
