@@ -12,13 +12,16 @@ from carbonproof.llm.byte_bpe import encode_texts, with_digests
 from carbonproof.llm.common import scratch_path
 from carbonproof.llm.decontaminate import contaminated
 from carbonproof.llm.html_extract import extract_text
+from carbonproof.llm.lexical import ranked_search
 from carbonproof.llm.license_scan import license_scan
 from carbonproof.llm.line_dedup import dedup_lines
+from carbonproof.llm.packing import pack
 from carbonproof.llm.quality_classifier import quality_scores
 from carbonproof.llm.quality_rules import BASE, quality_rules
 from carbonproof.llm.sharding import Policy, ShardStore
 from carbonproof.llm.simhash import simhash_groups
 from carbonproof.llm.token_counts import token_counts
+from carbonproof.llm.whitening import whiten
 
 #: Documents of one arrival in op1.
 ARRIVAL = 512
@@ -82,6 +85,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 32 components, with its exact deviation."""
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place there."""
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _compaction_sql(passes: int = 4, policy: Policy | None = None) -> str:
     """The plan of op1 as SQL: passes of the same rule; further passes change nothing at these sizes."""
     p = policy or Policy()
@@ -113,6 +131,29 @@ def _compaction_sql(passes: int = 4, policy: Policy | None = None) -> str:
     )
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = f"unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+#: op13 in full: every document that shares a term with an item is scored.
+_SEARCH_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+    i AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+    tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, {_TERMS} AS t FROM d) GROUP BY r, t),
+    n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+    s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+    m AS (SELECT r, 100 - 75 + ((75 * n * docs) // total) AS m FROM n, s),
+    w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+    q AS (SELECT item, t, count(*) AS times FROM (SELECT item, {_TERMS} AS t FROM i) GROUP BY item, t),
+    scored AS (
+        SELECT q.item, tf.r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m ON m.r = tf.r GROUP BY q.item, tf.r
+    ),
+    ranked AS (
+        SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+        FROM scored JOIN d USING (r) WHERE score > 0
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (item) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -124,6 +165,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": _compaction_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _compaction_sql(), "op13_lexical_search": _SEARCH_SQL}
