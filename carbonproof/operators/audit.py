@@ -53,13 +53,10 @@ def sampled_fingerprint(df: DataFrame, key: str, modulus: int) -> DataFrame:
 
     The sample depends on key values only, never on how rows are laid out.
     """
-    chosen = hash60(F.col(key).cast("string")) % modulus == 0
-    row = canonical_row(df)
-    return df.agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(chosen).alias("n_sampled"),
-        F.coalesce(F.sum(F.when(chosen, hash60(row).cast("decimal(38,0)"))), F.lit(0)).cast("decimal(38,0)").alias("checksum"),
-    )
+    key_hash = hash60(F.col(f"`{key}`").cast("string"))
+    rows = row_hashes(df.withColumn("_chosen", F.coalesce(key_hash % modulus == 0, F.lit(False))), df.columns, keep=["_chosen"])
+    sampled = rows.withColumn("_hash", F.when(F.col("_chosen"), F.col("_hash")))
+    return sampled.agg(F.count("*").alias("n_rows"), F.count_if("_chosen").alias("n_sampled"), checksum("_hash").alias("checksum"))
 
 
 def partition_fingerprints(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -106,7 +103,7 @@ def reconcile(src: Mapping[str, DataFrame], dst: Mapping[str, DataFrame]) -> Dat
 
 
 def row_diff(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """``keys`` and ``status`` (added, removed, changed, same) of every key; rows travel as 64-bit pairs, not whole.
+    """``keys`` and ``status`` (added, removed, changed, same) of every key; a row travels as its MD5, not whole.
 
     Keys are taken to be unique on each side and not null.
     """
@@ -130,13 +127,23 @@ def column_diff(src: DataFrame, dst: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def bag_diff(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Rows that one side has more often: ``only_in``, the columns, and ``surplus``."""
-    columns = src.columns
-
-    def one_way(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
-        return x.exceptAll(y).groupBy(*columns).agg(F.count("*").alias("surplus")).select(F.lit(side).alias("only_in"), *columns, "surplus")
+    """Rows that one side has more often: ``only_in``, the columns, and ``surplus``.
 
-    return one_way(src, dst, "src").unionByName(one_way(dst, src, "dst"))
+    Rows of one side count up, of the other down; equal rows meet in one aggregation, the only shuffle.
+    """
+    columns = src.columns
+    count = fresh_name(columns, "surplus_")
+    both = src.withColumn(count, F.lit(1)).unionByName(dst.select(*columns).withColumn(count, F.lit(-1)))
+    net = both.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.sum(count).alias(count)).where(F.col(count) != 0)
+    side = F.when(F.col(count) > 0, "src").otherwise("dst")
+    return net.select(side.alias("only_in"), *[F.col(f"`{c}`") for c in columns], F.abs(count).alias("surplus"))
+
+
+def fresh_name(taken: Sequence[str], base: str) -> str:
+    """A column name that is not taken in any case."""
+    while base.lower() in {c.lower() for c in taken}:
+        base += "_"
+    return base
 
 
 def destination_satisfies(manifest: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Chunks of items: layout, split, verification, routing, gaps, reassembly.
+"""Chunks of items: layout, split, verification, routing, gaps, reassembly, digests of whole items.
+
+An item may be larger than any row can be, so whole items are proved from their chunks: small ones by
+the digest of their joined bytes, larger ones by a tree over the digests of their chunks.
 
 Items have ``item_id`` and ``payload`` (binary) or ``size``; chunks have ``item_id, chunk_index, offset,
 len, digest, data``.
@@ -11,6 +14,11 @@ from pyspark.sql import functions as F
 
 from carbonproof.sources.readers import CHUNK_BYTES
 
+#: Items of more bytes are digested by a tree over their chunks' digests; the others have room in one row.
+WHOLE_BYTES = 64 << 20
+#: Digests under one node of such a tree.
+TREE_GROUP = 128
+
 
 def chunk_count(size: Column, chunk_bytes: int) -> Column:
     return F.ceil(size / chunk_bytes).cast("bigint")
@@ -90,18 +98,58 @@ def chunk_gaps(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def reassemble_items(chunks: DataFrame) -> DataFrame:
-    """``item_id, payload``: chunks joined by offset. Hex keeps bytes apart from text at chunk borders."""
-    ordered = F.array_sort(F.collect_list(F.struct("offset", "data")))
-    return chunks.groupBy("item_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["data"])), "")).alias("payload"))
-
-
-def verify_items(items: DataFrame, item_ends: DataFrame) -> DataFrame:
-    """``item_id, status``: ok, incomplete (no end record or bytes missing), wrong size or wrong digest."""
+    """``item_id, payload``: chunks joined by offset, for items that have room in a row; ``write_items`` is for larger ones."""
+    return chunks.groupBy("item_id").agg(_joined("data", "offset").alias("payload"))
+
+
+def _joined(value: str, order: str) -> Column:
+    """Bytes or texts of a group, joined in order."""
+    return F.expr(f"listagg({value}) WITHIN GROUP (ORDER BY {order})")
+
+
+def chunk_item_digests(chunks: DataFrame, whole_bytes: int = WHOLE_BYTES, group: int = TREE_GROUP) -> DataFrame:
+    """``item_id, total, digest`` of whole items from their chunks, each chunk once and in any order of rows.
+
+    Up to ``whole_bytes`` the digest is that of the item's bytes. Beyond, every ``group`` neighbouring
+    chunks' digests make a node, every ``group`` nodes one above, until there is one: no group holds more,
+    so an item of any size is spread over all tasks. Digests are taken from ``data``, not as declared.
+    """
+    sizes = chunks.groupBy("item_id").agg(F.sum("len").cast("bigint").alias("total"), F.count("*").alias("n"))
+    small = chunks.join(sizes.where(F.col("total") <= whole_bytes), "item_id").groupBy("item_id", "total")
+    whole = small.agg(F.sha2(_joined("data", "offset"), 256).alias("digest"))
+    large = sizes.where(F.col("total") > whole_bytes)
+    most = large.agg(F.max("n")).first()[0]
+    if most is None:
+        return whole
+    level = chunks.select("item_id", F.col("chunk_index").alias("at"), F.sha2("data", 256).alias("d")).join(large, "item_id")
+    level = level.withColumn("done", F.lit(False))
+    while True:
+        node = F.when(F.col("done"), F.any_value("d")).otherwise(F.sha2(_joined("d", "at"), 256))
+        level = level.groupBy("item_id", "total", "n", "done", F.floor(F.col("at") / group).alias("at")).agg(node.alias("d"))
+        level = level.withColumn("n", F.ceil(F.col("n") / group)).withColumn("done", F.col("n") == 1)
+        most = -(-most // group)
+        if most <= 1:
+            break
+    return whole.unionByName(level.select("item_id", "total", F.col("d").alias("digest")))
+
+
+def _item_status(found: DataFrame, item_ends: DataFrame, how: str) -> DataFrame:
     ends = item_ends.select("item_id", F.col("total").alias("end_total"), F.col("digest").alias("end_digest"))
+    total = F.coalesce("total", F.lit(0))
     status = (
-        F.when(F.col("end_total").isNull() | (F.col("total") < F.col("end_total")), "incomplete")
-        .when(F.col("total") != F.col("end_total"), "wrong size")
-        .when(F.col("digest") != F.col("end_digest"), "wrong digest")
+        F.when(F.col("end_total").isNull() | (total < F.col("end_total")), "incomplete")
+        .when(total != F.col("end_total"), "wrong size")
+        .when(F.coalesce("digest", F.sha2(F.lit(""), 256)) != F.col("end_digest"), "wrong digest")
         .otherwise("ok")
     )
-    return item_digests(items).join(ends, "item_id", "left").select("item_id", status.alias("status"))
+    return found.join(ends, "item_id", how).select("item_id", status.alias("status"))
+
+
+def verify_items(items: DataFrame, item_ends: DataFrame) -> DataFrame:
+    """``item_id, status``: ok, incomplete (no end record or bytes missing), wrong size or wrong digest."""
+    return _item_status(item_digests(items), item_ends, "left")
+
+
+def verify_chunked_items(chunks: DataFrame, item_ends: DataFrame, whole_bytes: int = WHOLE_BYTES, group: int = TREE_GROUP) -> DataFrame:
+    """The same from chunks alone, for items of any size. An item without chunks has no bytes."""
+    return _item_status(chunk_item_digests(chunks, whole_bytes, group), item_ends, "full_outer")

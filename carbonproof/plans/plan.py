@@ -69,9 +69,9 @@ def plan_header(items: DataFrame, module: str, mode: str, created_at: str, summa
 def render_header(header: DataFrame) -> DataFrame:
     """``line_no, line``: the display lines above the items of a plan."""
     lines = [
-        F.concat_ws("  ", F.lit("Backup plan"), F.concat(F.lit("module="), "module"), F.concat(F.lit("mode="), "mode"), F.concat(F.lit("created="), "created_at")),
-        F.concat(F.lit("  "), "source_summary"),
-        F.concat(F.lit("  items: "), F.col("n_items").cast("string"), F.lit("   estimated: "), human_size(F.col("estimated_bytes")), F.lit("   integrity: "), "integrity"),
+        F.format_string("%s plan for %s, made at %s", "mode", "module", "created_at"),
+        F.concat(F.lit("source: "), "source_summary"),
+        F.concat(F.col("n_items").cast("string"), F.lit(" items of about "), human_size(F.col("estimated_bytes")), F.lit(", digests by "), "integrity"),
     ]
     return header.select(F.posexplode_outer(F.array(*lines)).alias("line_no", "line"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from carbonproof.functions.scratch import scratch_path
 from carbonproof.operators import chunks as ck
 from carbonproof.operators import manifest as mf
 from carbonproof.operators import resume as rs
 from carbonproof.queries import fixtures as fx
+from carbonproof.sources import item_files, readers
 
 R = fx.Registry()
 C = fx.C
@@ -194,3 +196,46 @@ def reset_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def assign_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.assign_lanes(fx.items(spark, sf_dir).select("item_id", "size"), 6)
+
+
+#: Bytes up to which the queries digest items whole, and digests under a node.
+WHOLE, GROUP = 4096, 8
+
+
+def _item_tree_sql(chunks: str, levels: int = 6) -> str:
+    """CTEs ``dig`` (item_id, total, digest) over chunks ``(item_id, chunk_index, offset, len, data)``: six levels are enough for 8^6 chunks."""
+    steps = [
+        f"sz AS (SELECT item_id, CAST(sum(len) AS BIGINT) AS total, count(*) AS n FROM {chunks} GROUP BY 1)",
+        f"lv0 AS (SELECT item_id, total, chunk_index AS place, sha256(data) AS d, n FROM {chunks} JOIN sz USING (item_id) WHERE total > {WHOLE})",
+    ]
+    for k in range(1, levels + 1):
+        node = "sha256(string_agg(d, '' ORDER BY place))" if k == 1 else "CASE WHEN n = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY place)) END"
+        steps.append(f"lv{k} AS (SELECT item_id, total, place // {GROUP} AS place, {node} AS d, CAST(ceil(n / {GROUP}.0) AS BIGINT) AS n FROM lv{k - 1} GROUP BY item_id, total, place // {GROUP}, n)")
+    small = f"SELECT item_id, total, sha256(payload) AS digest FROM {chunks} JOIN sz USING (item_id) JOIN items USING (item_id) WHERE total <= {WHOLE} AND chunk_index = 0"
+    return ", ".join([*steps, f"dig AS (SELECT item_id, total, d AS digest FROM lv{levels} UNION ALL {small})"])
+
+
+@R.add(f"WITH {fx.CHUNKS}, {_item_tree_sql('chunks')} SELECT item_id, total, digest FROM dig")
+def chunk_item_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ck.chunk_item_digests(fx.chunks(spark, sf_dir), WHOLE, GROUP)
+
+
+@R.add(
+    f"WITH {fx.CHUNKS}, {_item_tree_sql('chunks')} SELECT item_id, CASE WHEN item_id % 31 = 0 OR (item_id % 29 = 0 AND size > 0) THEN 'incomplete' WHEN item_id % 41 = 0 AND total > 1 THEN 'wrong size' "
+    "WHEN item_id % 37 = 0 THEN 'wrong digest' ELSE 'ok' END AS status FROM items LEFT JOIN dig USING (item_id)"
+)
+def verify_chunked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, n = fx.chunks(spark, sf_dir), F.col("item_id")
+    empty = fx.items(spark, sf_dir).where("size = 0").select("item_id", F.lit(0).cast("bigint").alias("total"), F.sha2(F.lit(""), 256).alias("digest"))
+    ends = ck.chunk_item_digests(whole, WHOLE, GROUP).unionByName(empty).where(n % 31 != 0)
+    ends = ends.withColumn("digest", F.when(n % 37 == 0, "deadbeef").otherwise(F.col("digest")))
+    ends = ends.withColumn("total", F.when((n % 41 == 0) & (F.col("total") > 1), F.col("total") - 1).otherwise(F.col("total")))
+    last = F.col("chunk_index") == F.max("chunk_index").over(Window.partitionBy("item_id"))
+    arrived = whole.where(n % 29 != 0).unionByName(whole.where(n % 29 == 0).withColumn("last", last).where("not last").drop("last"))
+    return ck.verify_chunked_items(arrived, ends, WHOLE, GROUP)
+
+
+@R.add(f"WITH {fx.ITEMS} SELECT CAST(item_id AS VARCHAR) AS rel_path, size, sha256(payload) AS full_hash FROM items WHERE size > 0")
+def write_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = item_files.write_items(fx.chunks(spark, sf_dir).orderBy("arrival"), scratch_path(spark, "items"))
+    return readers.read_payloads(spark, path).select("rel_path", "size", "full_hash")

@@ -9,7 +9,7 @@ from carbonproof.functions.scratch import scratch_path
 from carbonproof.operators import audit as au
 from carbonproof.plans import job, plan, preflight
 from carbonproof.queries import fixtures as fx
-from carbonproof.sources import readers, sinks
+from carbonproof.sources import item_files, readers, sinks, tree, versions
 
 R = fx.Registry()
 T = fx.table
@@ -30,13 +30,26 @@ def read_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.substring_index("rel_path", "/", 1).alias("folder")).agg(F.sum("size").alias("bytes"))
 
 
-@R.add("SELECT 'role=' || role AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS right_digest, true AS right_chunks FROM conversations GROUP BY 1")
+def _saved_items(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files source/doc_id, every seventh of them empty, hidden ones among them; the folder."""
+    name = F.concat_ws("/", "source", F.concat(F.when(F.col("doc_id") % 5 == 0, "_").otherwise(""), F.col("doc_id").cast("string")))
+    data = F.when(F.col("doc_id") % 7 == 0, F.lit("").cast("binary")).otherwise(F.encode("text", "UTF-8"))
+    docs = T(spark, sf_dir, "documents").select(name.alias("name"), F.lit(0).alias("offset"), data.alias("data"))
+    return item_files.write_items(docs, scratch_path(spark, "saved"), F.col("name"))
+
+
+_SAVED = "saved AS (SELECT source, source || '/' || CASE WHEN doc_id % 5 = 0 THEN '_' ELSE '' END || doc_id AS rel_path, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text FROM documents)"
+
+
+@R.add(f"WITH {_SAVED} SELECT rel_path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS full_hash, CAST(ceil(strlen(text) / {fx.C}.0) AS BIGINT) AS chunk_count FROM saved")
 def read_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = readers.read_payloads(spark, _turns(spark, sf_dir), fx.C, glob="part-*")
-    return found.groupBy(F.substring_index("rel_path", "/", 1).alias("folder")).agg(
-        F.sum("size").alias("bytes"), F.bool_and(F.sha2("content", 256) == F.col("full_hash")).alias("right_digest"),
-        F.bool_and(F.col("chunk_count") == F.ceil(F.octet_length("content") / fx.C)).alias("right_chunks"),
-    )
+    found = readers.read_payloads(spark, _saved_items(spark, sf_dir), fx.C)
+    return found.select("rel_path", "size", "full_hash", "chunk_count")
+
+
+@R.add(f"WITH {_SAVED} SELECT rel_path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS size FROM saved UNION ALL SELECT DISTINCT source, 'directory', NULL FROM saved")
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.scan_tree(spark, _saved_items(spark, sf_dir)).select("rel_path", "kind", "size")
 
 
 def _relational(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -53,10 +66,9 @@ def read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
-@R.add("SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, CAST(count(DISTINCT c_name) AS BIGINT) AS names, CAST(sum(c_nationkey) AS BIGINT) AS nations FROM customer")
+@R.add("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = spark.read.format("jdbc").options(url=_relational(spark, sf_dir, "customer"), driver=DERBY, dbtable="customer").load()
-    return back.agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.count_distinct("c_name").alias("names"), F.sum("c_nationkey").alias("nations"))
+    return spark.read.format("jdbc").options(url=_relational(spark, sf_dir, "customer"), driver=DERBY, dbtable="customer").load()
 
 
 @R.add("SELECT conv_id, turn, role, text FROM conversations")
@@ -107,6 +119,15 @@ def staged_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@R.add("SELECT o_orderkey, o_totalprice, 2 AS newest, 10 AS first_rows FROM orders")
+def commit_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, orders = scratch_path(spark, "versioned"), T(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    versions.commit_version(orders.limit(10), path, lambda copy: copy.count() == 10)
+    newest = versions.commit_version(orders, path, lambda copy: au.bag_diff(orders, copy).isEmpty(), after=1)
+    first = versions.read_version(spark, path, 1).agg(F.count("*").cast("int").alias("first_rows"))
+    return versions.read_version(spark, path).withColumn("newest", F.lit(newest)).join(first, F.lit(True))
+
+
 _EST = f"e AS (SELECT l_shipdate.year() AS y, l_returnflag, count(*) AS n_rows, CAST(sum(strlen({fx.canonical_sql('lineitem')})) AS BIGINT) AS estimated_bytes FROM lineitem GROUP BY 1, 2)"
 _EST = _EST.replace("l_shipdate.year()", "year(l_shipdate)")
 _NAMED = f"{_EST}, p AS (SELECT row_number() OVER (ORDER BY y || '-' || l_returnflag) AS id, y || '-' || l_returnflag AS name, n_rows, estimated_bytes FROM e)"
@@ -180,8 +201,8 @@ def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     f"WITH {_OBJECTS}, t AS (SELECT count(*) AS n, CAST(coalesce(sum(estimated_bytes), 0) AS BIGINT) AS estimated_bytes FROM o) "
-    f"SELECT unnest(['Backup plan  module=data  mode=full  created=2024-01-01T00:00:00Z', '  parts', '  items: ' || n || '   estimated: ' || CASE WHEN estimated_bytes >= {1024**3} THEN {_scaled('GiB', 3)} "
-    f"WHEN estimated_bytes >= {1024**2} THEN {_scaled('MiB', 2)} WHEN estimated_bytes >= 1024 THEN {_scaled('KiB', 1)} ELSE estimated_bytes || ' B' END || '   integrity: sha256']) AS line FROM t"
+    f"SELECT unnest(['full plan for data, made at 2024-01-01T00:00:00Z', 'source: parts', n || ' items of about ' || CASE WHEN estimated_bytes >= {1024**3} THEN {_scaled('GiB', 3)} "
+    f"WHEN estimated_bytes >= {1024**2} THEN {_scaled('MiB', 2)} WHEN estimated_bytes >= 1024 THEN {_scaled('KiB', 1)} ELSE estimated_bytes || ' B' END || ', digests by sha256']) AS line FROM t"
 )
 def plan_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = plan.plan_header(_objects(spark, sf_dir), "data", "full", "2024-01-01T00:00:00Z", "parts")
@@ -259,4 +280,5 @@ def copy_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.copy_many(
         spark,
         [target("nation", "n_regionkey"), target("part", "p_brand", accept=False), target("orders", "o_orderstatus", available_bytes=10), target("absent", "x"), target("supplier", "s_nationkey")],
+        lanes=3,
     )

@@ -21,7 +21,7 @@ def _files(spark: SparkSession) -> int:
 
 
 def _landed(df: DataFrame, order: str, label: str) -> tuple[str, str]:
-    """``df`` written as files, one a shuffle partition, each of a range of a column; the path and the schema."""
+    """``df`` written as files, one a shuffle partition, each of a range of a column; the path, and the schema as text."""
     path, files = scratch_path(df.sparkSession, label), _files(df.sparkSession)
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
     return path, df.schema.simpleString()[7:-1]
@@ -91,7 +91,8 @@ def stream_item_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("bigint")
     got = fx.bad_chunks(spark, sf_dir).select("item_id", F.lit("chunk").alias("kind"), "chunk_index", "len", none.alias("total"), "arrival")
     ends = fx.items(spark, sf_dir).where("item_id % 31 <> 0").select("item_id", F.lit("end").alias("kind"), none.alias("chunk_index"), none.alias("len"), F.col("size").alias("total"), F.pmod(F.col("item_id") * 104729, F.lit(1000003)).alias("arrival"))
-    out = _result(streams.stream_item_tracker(_stream(got.unionByName(ends), "arrival", "records")), "tracked", "update")
+    with streams.keyed_state(spark):
+        out = _result(streams.stream_item_tracker(_stream(got.unionByName(ends), "arrival", "records")), "tracked", "update")
     newest = F.max_by(F.struct("received_bytes", "chunks", "total", "complete"), "batch").alias("last")
     return out.groupBy("item_id").agg(newest).select("item_id", "last.*")
 
@@ -114,6 +115,67 @@ def progress_windows(events: DataFrame) -> DataFrame:
     return per.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "last.*")
 
 
+#: Parts of the events by time, and how many batches later one in ten of them comes.
+PARTS, LATE = 6, {3: 2, 7: 1}
+
+
+def _batched(df: DataFrame, batch: Column, label: str) -> DataFrame:
+    """A stream of ``df`` whose batches are known: each is written on its own, after the one before it, and read as a whole."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    rows = df.withColumn("_batch", batch)
+    sizes = dict(rows.groupBy("_batch").count().collect())
+    files = min([_files(spark), *sizes.values()])
+    for number in sorted(sizes):
+        rows.where(F.col("_batch") == number).drop("_batch").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _delivery(last: int) -> Column:
+    """The batch in which an event comes: that of its time, or a later one."""
+    part = F.floor(F.col("id") * PARTS / (last + 1)).cast("int")
+    for digit, later in LATE.items():
+        part = part + F.when(F.col("id") % 10 == digit, later).otherwise(0)
+    return part
+
+
+_DELIVERED = (
+    f"{fx.TRANSFER_EVENTS}, d AS (SELECT *, CAST(id * {PARTS} // ((SELECT max(id) FROM t) + 1) AS INTEGER) + "
+    + " + ".join(f"CASE WHEN id % 10 = {digit} THEN {later} ELSE 0 END" for digit, later in LATE.items())
+    + " AS batch FROM t), "
+    # A batch is held against the watermark with which the one before it ran: the latest event of the batches before that one, less the delay.
+    "mark AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS mark FROM d GROUP BY batch)"
+)
+
+
+def _windows_sql(width: int, slide: int) -> str:
+    """Progress windows of the rows that are in time for their window, for each window that a row falls into."""
+    return (
+        f"WITH {_DELIVERED}, w AS (SELECT d.*, time_bucket(INTERVAL {slide} HOUR, ts, TIMESTAMP '2024-01-01') - INTERVAL {slide} HOUR * unnest(range({width // slide})) AS start FROM d), "
+        f"kept AS (SELECT w.*, start + INTERVAL {width} HOUR AS stop FROM w JOIN mark USING (batch) WHERE mark IS NULL OR start + INTERVAL {width} HOUR > mark) "
+        f"SELECT start, stop, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (item_done) AS items, round(CAST(sum(bytes) AS DOUBLE) / {width * 3600}, 4) AS rate FROM kept GROUP BY 1, 2"
+    )
+
+
+def _late_progress(spark: SparkSession, sf_dir: str, width: str, slide: str | None) -> DataFrame:
+    events = fx.transfer_events(spark, sf_dir)
+    last = events.agg(F.max("id")).first()[0] or 0
+    out = _result(streams.stream_progress(_batched(events, _delivery(last), "late"), width, slide, "1 day"), "windows", "update")
+    per = out.groupBy("start", "stop").agg(F.max_by(F.struct("bytes", "items", "rate"), "batch").alias("last"))
+    return per.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "last.*")
+
+
+@R.add(_windows_sql(6, 6))
+def stream_progress_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some events come days late; those whose window the watermark has passed are dropped, and no others."""
+    return _late_progress(spark, sf_dir, "6 hours", None)
+
+
+@R.add(_windows_sql(6, 2))
+def stream_progress_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over windows that overlap: a late event counts in those of its windows that are still open."""
+    return _late_progress(spark, sf_dir, "6 hours", "2 hours")
+
+
 @R.add(
     "WITH e AS (SELECT user_id AS transfer, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut FROM events), "
     "s AS (SELECT *, sum(cut) OVER (PARTITION BY transfer ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) "
@@ -124,6 +186,32 @@ def stall_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("transfer", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "events")
 
 
+@R.add(
+    "WITH e AS (SELECT user_id AS transfer, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut FROM events), "
+    "s AS (SELECT *, sum(cut) OVER (PARTITION BY transfer ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) "
+    'SELECT transfer, min(ts) AS start, max(ts) AS "last", count(*) AS events FROM s GROUP BY transfer, n'
+)
+def stream_stall_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream: they grow over batches and come out when the watermark passes them; a last event of no transfer, a week on, passes all."""
+    events = fx.transfer_events(spark, sf_dir).select("transfer", "id", "ts")
+    last = events.agg(F.max("id")).first()[0] or 0
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 7 DAYS")).alias("ts")).select(F.lit(None).cast("bigint").alias("transfer"), F.lit(None).cast("bigint").alias("id"), "ts").where("ts is not null")
+    batch = F.coalesce(F.floor(F.col("id") * PARTS / (last + 1)).cast("int"), F.lit(PARTS))
+    out = _result(streams.stall_sessions(_batched(events.unionByName(end), batch, "activity"), "30 minutes", delay="1 hour"), "sessions")
+    return out.select("transfer", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "events")
+
+
+@R.add("SELECT event_id, user_id, event_type, value FROM events")
+def paced_copy_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy in batches of a number of bytes each."""
+    events = T(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    path, _ = _landed(events, "event_id", "paced")
+    sink = scratch_path(spark, "sink")
+    schema = "event_id bigint, user_id bigint, event_type string, value double"
+    streams.paced_copy(spark, path, schema, sink, scratch_path(spark, "checkpoint"), max_bytes=16_384).awaitTermination()
+    return spark.read.schema(events.schema).parquet(sink)
+
+
 @R.add(
     f"WITH {fx.TRANSFER_EVENTS}, s AS (SELECT transfer, CASE WHEN transfer % 5 <> 0 THEN CAST(sum(bytes) AS BIGINT) // 2 END AS total_bytes FROM t GROUP BY 1), "
     "r AS (SELECT t.transfer, id, ts, total_bytes, CAST(sum(bytes) OVER w AS BIGINT) AS bytes_done, CAST(sum(item_done::INT) OVER w AS BIGINT) AS items_done, "

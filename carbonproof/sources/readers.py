@@ -8,16 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carbonproof.functions.canon import dense_ids
+from carbonproof.sources.tree import file_contents, scan_tree
 
 #: Bytes of a chunk unless said otherwise.
 CHUNK_BYTES = 1 << 20
 
 
-def _files(spark: SparkSession, uri: str, glob: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(uri)
-
-
 def _relative(uri: str):
     """The path below the root: what follows the first place of the root's own path, whatever scheme either is written with."""
     scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
@@ -26,21 +22,36 @@ def _relative(uri: str):
     return F.substring(place, F.locate(root, place) + len(root), F.length(place))
 
 
+def _pattern(glob: str) -> str:
+    """A shell pattern as a regular expression that both Python and Java read."""
+    parts = re.split(r"(\*|\?|\[[^\]]+\])", glob)
+    forms = {"*": ".*", "?": "."}
+    return "(?s)^" + "".join(forms.get(p) or (p.replace("[!", "[^") if p.startswith("[") and len(p) > 2 else re.escape(p)) for p in parts) + "$"
+
+
 def read_inventory(spark: SparkSession, uri: str, prefix: str | None = None, glob: str | None = None) -> DataFrame:
-    """``rel_path, size, mtime`` of every file below ``uri``; contents are not read.
+    """``rel_path, size, mtime`` of every file below ``uri``, empty and hidden ones too; contents are not read.
 
-    Spark's file sources leave out files of no bytes and names that begin with ``_`` or ``.``.
+    ``glob`` is for the last component of the path, as in a shell: ``*``, ``?`` and ``[..]``.
     """
-    found = _files(spark, uri, glob).select(_relative(uri).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return found.where(F.col("rel_path").startswith(prefix)) if prefix else found
+    found = scan_tree(spark, uri, prefix).where("kind = 'file'").select("rel_path", "size", "mtime")
+    return found.where(F.substring_index("rel_path", "/", -1).rlike(_pattern(glob))) if glob else found
 
 
 def read_payloads(spark: SparkSession, uri: str, chunk_bytes: int = CHUNK_BYTES, glob: str | None = None) -> DataFrame:
-    """The inventory with ``content``, its digest and its number of chunks."""
-    return _files(spark, uri, glob).select(
-        _relative(uri).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content",
-        F.sha2("content", 256).alias("full_hash"), F.ceil(F.col("length") / chunk_bytes).cast("bigint").alias("chunk_count"),
-    )
+    """The inventory with ``content``, its digest and its number of chunks.
+
+    Spark's source reads what it lists, in splits of its own; what it leaves out, empty files and those below a hidden
+    name, is added from the complete inventory. A file has to have room in a row: larger ones are split where they lie.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = (reader.option("pathGlobFilter", glob) if glob else reader).load(uri)
+    seen = listed.select(_relative(uri).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    hidden = F.exists(F.split("rel_path", "/"), lambda p: p.startswith("_") | p.startswith("."))
+    rest = read_inventory(spark, uri, glob=glob).where((F.col("size") == 0) | hidden)
+    with_content = rest.mapInArrow(file_contents(uri), "rel_path string, size bigint, mtime timestamp, content binary")
+    found = seen.where(~((F.col("size") == 0) | hidden)).unionByName(with_content)
+    return found.select("*", F.sha2("content", 256).alias("full_hash"), F.ceil(F.col("size") / chunk_bytes).cast("bigint").alias("chunk_count"))
 
 
 def read_table(spark: SparkSession, url: str, table: str, key: str, partitions: int, driver: str | None = None) -> DataFrame:

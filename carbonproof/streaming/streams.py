@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from carbonproof.functions.scratch import setting
 from carbonproof.operators.chunks import chunk_ok
 
 
@@ -36,32 +38,96 @@ def stream_dedup_chunks(src: DataFrame, ts: str, delay: str) -> DataFrame:
 
 
 TRACKED = "item_id bigint, received_bytes bigint, chunks bigint, total bigint, complete boolean"
-TRACK_STATE = "seen array<bigint>, received bigint, total bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession):
+    """Streams that start inside this block keep their state in a store that reads and writes single keys."""
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class Ranges:
+    """A set of whole numbers as half-open ranges; knows which of them changed."""
+
+    def __init__(self, ranges: Iterable[tuple[int, int]]) -> None:
+        found = sorted(ranges)
+        self.starts, self.stops = [a for a, _ in found], [b for _, b in found]
+        self._before = dict(found)
+
+    def add(self, x: int) -> bool:
+        """Whether ``x`` is new; it extends or joins its neighbours."""
+        at = bisect_right(self.starts, x)
+        if at and x < self.stops[at - 1]:
+            return False
+        left, right = at > 0 and self.stops[at - 1] == x, at < len(self.starts) and self.starts[at] == x + 1
+        if left and right:
+            self.stops[at - 1] = self.stops.pop(at)
+            del self.starts[at]
+        elif left:
+            self.stops[at - 1] = x + 1
+        elif right:
+            self.starts[at] = x
+        else:
+            self.starts.insert(at, x)
+            self.stops.insert(at, x + 1)
+        return True
 
+    def changes(self) -> tuple[dict[int, int], list[int]]:
+        """Ranges that are new or longer, and starts that are gone."""
+        now = dict(zip(self.starts, self.stops, strict=True))
+        return {a: b for a, b in now.items() if self._before.get(a) != b}, [a for a in self._before if a not in now]
 
-def _tracker(idle_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    columns = ["item_id", "received_bytes", "chunks", "total", "complete"]
 
-    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, received, total = state.get if state.exists else ([], 0, None)
-        known = set(seen)
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            for rows in batches:
-                for kind, index, size, end in rows[["kind", "chunk_index", "len", "total"]].itertuples(index=False):
-                    if kind == "end":
-                        total = int(end)
-                    elif int(index) not in known:
-                        known.add(int(index))
-                        received += int(size)
-            state.update((sorted(known), received, total))
-            if idle_ms and received != total:
-                state.setTimeoutDuration(idle_ms)
-        row = (key[0], received, len(known), total, total is not None and received == total)
-        yield pd.DataFrame([row], columns=columns).astype({"total": "Int64"})
-
-    return track
+class ItemTracker(StatefulProcessor):
+    """Per item the ranges of chunks that came, a map of start to stop, beside bytes, number of chunks and total.
+
+    Chunks that come in order are one range however many they are; a batch writes only the ranges that it changed.
+    """
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ranges = handle.getMapState("ranges", "start bigint", "stop bigint")
+        self.sums = handle.getValueState("sums", "received bigint, chunks bigint, total bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        received, chunks, total = self.sums.get() if self.sums.exists() else (0, 0, None)
+        ranges = Ranges((a, b) for (a,), (b,) in self.ranges.iterator())
+        for part in rows:
+            for kind, index, size, end in part[["kind", "chunk_index", "len", "total"]].itertuples(index=False):
+                if kind == "end":
+                    total = int(end)
+                elif ranges.add(int(index)):
+                    received, chunks = received + int(size), chunks + 1
+        written, gone = ranges.changes()
+        for start in gone:
+            self.ranges.removeKey((start,))
+        for start, stop in written.items():
+            self.ranges.updateValue((start,), (stop,))
+        self.sums.update((received, chunks, total))
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if received != total:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield _tracked(key, received, chunks, total)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.sums.exists():
+            row = _tracked(key, *self.sums.get())
+            self.ranges.clear()
+            self.sums.clear()
+            yield row
+
+    def close(self) -> None:
+        pass
+
+
+def _tracked(key: tuple, received: int, chunks: int, total: int | None) -> pd.DataFrame:
+    row = (key[0], received, chunks, total, total is not None and received == total)
+    return pd.DataFrame([row], columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"total": "Int64"})
 
 
 def stream_item_tracker(src: DataFrame, idle_ms: int | None = None) -> DataFrame:
@@ -69,11 +135,10 @@ def stream_item_tracker(src: DataFrame, idle_ms: int | None = None) -> DataFrame
 
     ``src`` has ``item_id, kind ('chunk' or 'end'), chunk_index, len, total``. A chunk that comes again
     counts once. With ``idle_ms``, an incomplete item that is idle for so long leaves the state with a
-    last row; a stream with such timeouts goes on until it is stopped.
+    last row; a stream with such timeouts goes on until it is stopped. Start it inside ``keyed_state``.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     columns = src.select("item_id", "kind", "chunk_index", "len", "total")
-    return columns.groupBy("item_id").applyInPandasWithState(_tracker(idle_ms), TRACKED, TRACK_STATE, "update", timeout)
+    return columns.groupBy("item_id").transformWithStateInPandas(ItemTracker(idle_ms), TRACKED, "Update", "ProcessingTime" if idle_ms else "None")
 
 
 def stream_progress(src: DataFrame, width: str, slide: str | None = None, delay: str = "0 seconds") -> DataFrame:

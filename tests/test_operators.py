@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import time
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier, Event
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from carbonproof.functions import canon
+from carbonproof.functions import canon, scratch
 from carbonproof.functions.canon import dense_ids, digest_tree, exact_row_hash
 from carbonproof.operators import audit, chunks, manifest, resume
 from carbonproof.plans import job, plan, preflight
-from carbonproof.sources import readers, sinks
+from carbonproof.sources import item_files, readers, sinks, tree, versions
 from carbonproof.streaming import streams
 
 C = 8
@@ -170,9 +175,8 @@ def test_inventory_and_payloads(spark, tmp_path):
     (tmp_path / "y.bin").write_bytes(b"abc")
     (tmp_path / "empty").write_bytes(b"")
     inv = readers.read_inventory(spark, f"file://{tmp_path}")
-    assert {(r["rel_path"], r["size"]) for r in inv.collect()} == {("a/x.txt", 5), ("y.bin", 3)}
-    assert "content" not in inv._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
-    assert {r["rel_path"]: r["chunk_count"] for r in readers.read_payloads(spark, f"file://{tmp_path}", 2).collect()} == {"a/x.txt": 3, "y.bin": 2}
+    assert {(r["rel_path"], r["size"]) for r in inv.collect()} == {("a/x.txt", 5), ("y.bin", 3), ("empty", 0)}
+    assert {r["rel_path"]: r["chunk_count"] for r in readers.read_payloads(spark, f"file://{tmp_path}", 2).collect()} == {"a/x.txt": 3, "y.bin": 2, "empty": 0}
 
 
 def test_inventory_of_nested_equal_names(spark, tmp_path):
@@ -237,7 +241,204 @@ def test_tracker_takes_the_end_first(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     src = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
-    query = streams.stream_item_tracker(src).writeStream.format("memory").queryName("tracked").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with streams.keyed_state(spark):
+        query = streams.stream_item_tracker(src).writeStream.format("memory").queryName("tracked").outputMode("update").trigger(availableNow=True).start()
+        query.awaitTermination()
     last = {r["item_id"]: (r["received_bytes"], r["chunks"], r["complete"]) for r in spark.table("tracked").collect()}
     assert last == {1: (10, 2, True), 2: (8, 1, False)}
+
+
+def cut(spark, items_):
+    return chunks.split_chunks(items_, C)
+
+
+def test_digest_of_large_items_from_chunks(spark):
+    """Up to the limit the digest is that of the bytes; beyond, any change, swap or lack of a chunk changes it, the layout of rows does not."""
+    payloads = [b"a" * 5, bytes(range(200)), bytes(range(200))[::-1], b"z" * 16]
+    whole = cut(spark, items(spark, payloads))
+    get = lambda rows: {r["item_id"]: r["digest"] for r in chunks.chunk_item_digests(rows, 16, 3).collect()}
+    base, plain = get(whole), {r["item_id"]: r["digest"] for r in chunks.item_digests(items(spark, payloads)).collect()}
+    assert (base[0], base[3]) == (plain[0], plain[3]) and base[1] not in (plain[1], base[2])
+    assert get(whole.repartition(5)) == base
+    swapped = whole.withColumn("data", F.when((F.col("item_id") == 1) & (F.col("chunk_index") == 7), F.lit(b"\0" * C)).otherwise(F.col("data")))
+    assert get(swapped)[1] != base[1] and get(whole.where("chunk_index <> 3 or item_id <> 2"))[2] != base[2]
+    ends = spark.createDataFrame([(0, 5, base[0]), (1, 200, base[1]), (2, 200, base[1]), (7, 9, "x"), (8, 0, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")], "item_id bigint, total bigint, digest string")
+    status = {r["item_id"]: r["status"] for r in chunks.verify_chunked_items(whole, ends, 16, 3).collect()}
+    assert status == {0: "ok", 1: "ok", 2: "wrong digest", 3: "incomplete", 7: "incomplete", 8: "ok"}
+
+
+def test_items_written_by_several_tasks(spark, tmp_path):
+    """One item over all partitions, beside small ones; a name outside of the folder is refused and leaves nothing."""
+    payloads = [bytes(i % 251 for i in range(20_000)), b"xy", b"q" * C]
+    parts = chunks.split_chunks(items(spark, payloads), C)
+    out = item_files.write_items(parts.orderBy(F.rand(1)), f"file://{tmp_path}/out", F.concat(F.lit("d/"), F.col("item_id").cast("string")), partitions=5)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out/d").iterdir()} == {str(i): p for i, p in enumerate(payloads)}
+    with pytest.raises(FileExistsError):
+        item_files.write_items(parts, out)
+    with pytest.raises(Exception, match="no file name"):
+        item_files.write_items(parts, f"file://{tmp_path}/bad", F.lit("../x"))
+    with pytest.raises(ValueError):
+        item_files.write_items(parts, "s3://bucket/x")
+    item_files.write_items(parts.limit(0), f"file://{tmp_path}/none")
+    assert sorted(p.name for p in tmp_path.iterdir() if "_staging" not in p.name) == ["none", "out"]
+
+
+def test_tree_has_every_kind_of_entry(spark, tmp_path):
+    root = tmp_path / "root dir"
+    for at in ("a/b/c/deep", "a/empty", ".hidden/x", "_under/y", "a b/ä"):
+        (root / at).parent.mkdir(parents=True, exist_ok=True)
+        (root / at).write_bytes(b"" if at.endswith("empty") else at.encode())
+    (root / "void").mkdir()
+    (root / "link").symlink_to("a/empty")
+    (root / "loop").symlink_to(root)
+    got = {r["rel_path"]: (r["kind"], r["size"], r["target"]) for r in tree.scan_tree(spark, f"file://{root}").collect()}
+    assert {p for p, v in got.items() if v[0] == "directory"} == {"a", "a/b", "a/b/c", ".hidden", "_under", "a b", "void"}
+    assert got["a/empty"] == ("file", 0, None) and got["a b/ä"] == ("file", 6, None)
+    assert got["link"] == ("symlink", None, "a/empty") and got["loop"][0] == "symlink" and len(got) == 14
+    assert {r["rel_path"] for r in tree.scan_tree(spark, f"file://{root}", prefix="a/b/c").collect()} == {"a/b/c", "a/b/c/deep"}
+    assert {r["rel_path"] for r in readers.read_inventory(spark, f"file://{root}", glob="[!d]*y").collect()} == {"a/empty"}
+    payloads = {r["rel_path"]: bytes(r["content"]) for r in readers.read_payloads(spark, f"file://{root}").collect()}
+    assert payloads == {p: (b"" if p.endswith("empty") else p.encode()) for p, v in got.items() if v[0] == "file"}
+
+
+def test_of_racing_writers_one_commits(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert versions.commit_version(spark.range(1), path, lambda x: True) == 1
+
+    def commit(n):
+        try:
+            return versions.commit_version(spark.range(n), path, lambda x: x.count() == n, after=1)
+        except versions.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(commit, range(2, 6)))
+    winner = next(n for n, v in zip(range(2, 6), done, strict=True) if v == 2)
+    assert sorted(done, key=str) == [2, None, None, None]
+    assert versions.read_version(spark, path).count() == winner and versions.read_version(spark, path, 1).count() == 1
+    with pytest.raises(ValueError):
+        versions.commit_version(spark.range(9), path, lambda x: False)
+    with pytest.raises(versions.CommitConflict):
+        versions.commit_version(spark.range(9), path, lambda x: True, after=1)
+    assert versions.versions(spark, path) == [1, 2] and len(list((tmp_path / "t/data").iterdir())) == 2
+    assert len(versions.remove_unnamed(spark, path)) == 1 and versions.read_version(spark, path).count() == winner
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, path, 7)
+    assert not [p for p in (tmp_path / "t/versions").iterdir() if "draft" in p.name]
+
+
+def test_a_copy_reads_its_source_twice(spark, sf_dir, tmp_path):
+    read, rows = spark.sparkContext.accumulator(0), spark.read.parquet(f"{sf_dir}/customer.parquet")
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    done = job.copy_dataset(lambda: rows.mapInArrow(counted, rows.schema), f"file://{tmp_path}/c", job.CopyOptions("c_mktsegment"), "customer").first()
+    assert done["match"] and done["dst_rows"] == rows.count() and read.value == 2 * rows.count()
+    assert audit.bag_diff(rows, spark.read.parquet(f"file://{tmp_path}/c")).count() == 0
+
+
+def test_copy_into_an_empty_folder(spark, sf_dir, tmp_path):
+    (tmp_path / "n").mkdir()
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    assert job.copy_dataset(lambda: t, f"file://{tmp_path}/n", job.CopyOptions("n_regionkey", overwrite=False)).first()["match"]
+    assert spark.read.parquet(f"file://{tmp_path}/n").count() == t.count()
+    seen = iter([t, t, t.where("n_nationkey <> 3")])
+    with pytest.raises(audit.SourceChanged):
+        job.copy_dataset(lambda: next(seen), f"file://{tmp_path}/m", job.CopyOptions("n_regionkey", recheck=True))
+
+
+def test_copies_overlap_and_the_rest_is_cancelled(spark, sf_dir, tmp_path):
+    begun, met = [], Barrier(2, timeout=60)
+
+    def target(name, read):
+        return {"name": name, "read": read, "path": f"file://{tmp_path}/{name}", "options": job.CopyOptions("id")}
+
+    def meeting():
+        met.wait()  # passes only if two copies are under way at once
+        return spark.range(3)
+
+    rows = job.copy_many(spark, [target("a", lambda: (begun.append("a"), meeting())[1] if "a" not in begun else spark.range(3)), target("b", lambda: (begun.append("b"), meeting())[1] if "b" not in begun else spark.range(3))], lanes=2).collect()
+    assert [(r["target"], r["outcome"], r["n_rows"]) for r in rows] == [("a", "copied", 3), ("b", "copied", 3)]
+
+    started = Event()
+
+    def slow():
+        started.set()
+        return spark.range(0, 1 << 42, 1, 2).where("id % 7 = 8")
+
+    def broken():
+        started.wait(60)
+        time.sleep(2)
+        raise KeyError("gone")
+
+    rows = job.copy_many(spark, [target("slow", slow), target("broken", broken), target("later", lambda: spark.range(1))], fail_fast=True, lanes=2).collect()
+    assert [(r["target"], r["outcome"]) for r in rows] == [("slow", "cancelled"), ("broken", "failed"), ("later", "skipped")]
+
+
+def test_ranges_hold_few_runs():
+    held = streams.Ranges([])
+    assert all(held.add(x) for x in range(1000)) and held.changes() == ({0: 1000}, [])
+    again = streams.Ranges([(0, 1000), (1001, 1003)])
+    assert not again.add(999) and again.add(1000) and (again.starts, again.stops) == ([0], [1003])
+    assert again.changes() == ({0: 1003}, [1001])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30)), st.lists(st.integers(0, 30)))
+def test_ranges_are_a_set(first, second):
+    one = streams.Ranges([])
+    new = [one.add(x) for x in first]
+    assert sum(new) == len(set(first))
+    stored = one.changes()[0]
+    two = streams.Ranges(stored.items())
+    for x in second:
+        two.add(x)
+    written, gone = two.changes()
+    now = {k: v for k, v in stored.items() if k not in gone} | written
+    assert sorted(x for a, b in now.items() for x in range(a, b)) == sorted({*first, *second})
+    assert all(b < c for (_, b), (c, _) in zip(sorted(now.items()), sorted(now.items())[1:]))
+
+
+def test_bytes_bound_the_batches(spark, tmp_path):
+    spark.range(4000).repartition(8).write.parquet(f"file://{tmp_path}/in")
+    most = max(p.stat().st_size for p in (tmp_path / "in").iterdir() if p.suffix == ".parquet")
+    query = streams.paced_copy(spark, f"file://{tmp_path}/in", "id bigint", f"file://{tmp_path}/out", f"file://{tmp_path}/check", max_bytes=2 * most + 1)
+    query.awaitTermination()
+    batches = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(batches) == 4000 and len(batches) >= 4
+
+
+def test_settings_of_overlapping_blocks(spark):
+    key, get = "spark.sql.execution.arrow.maxRecordsPerBatch", lambda: spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = get()
+    one, two = scratch.setting(spark, key, "5"), scratch.setting(spark, key, "6")
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert get() == "6"
+    two.__exit__(None, None, None)
+    assert get() == before
+
+
+def test_manifest_is_read_twice(spark):
+    rows = [(0, "", "directory", None, None, 0), (1, "a", "file", 3, None, 1), (1, "a/b/c", "file", 3, "h", 1), (1, "a/b/c", "file", 3, "h", 1), (4, "a/b", "symlink", None, None, 0)]
+    source, read = spark.createDataFrame(rows, MANIFEST), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = Counter((r["violation"], r["id"]) for r in manifest.validate_manifest(source.mapInArrow(counted, source.schema), 5, C).collect())
+    assert found == {("missing digest", 1): 1, ("duplicate id", 1): 3, ("duplicate path", 1): 2, ("ancestor not a directory", 1): 1, ("ancestor not a directory", 4): 1}
+    assert read.value == 2 * len(rows)
+
+
+def test_bag_diff_shuffles_once(spark):
+    a, b = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, surplus_ string"), spark.createDataFrame([(1, None), (3, "y"), (3, "y")], "a int, surplus_ string")
+    out = audit.bag_diff(a, b)
+    assert {tuple(r) for r in out.collect()} == {("src", 1, None, 1), ("src", 2, "x", 1), ("dst", 3, "y", 2)}
+    assert out._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange") == 1
