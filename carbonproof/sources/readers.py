@@ -41,16 +41,12 @@ def read_inventory(spark: SparkSession, uri: str, prefix: str | None = None, glo
 def read_payloads(spark: SparkSession, uri: str, chunk_bytes: int = CHUNK_BYTES, glob: str | None = None) -> DataFrame:
     """The inventory with ``content``, its digest and its number of chunks.
 
-    Spark's source reads what it lists, in splits of its own; what it leaves out, empty files and those below a hidden
-    name, is added from the complete inventory. A file has to have room in a row: larger ones are split where they lie.
+    Tasks read the files of the complete inventory one by one, dealt out anew so that a large folder is spread. A file has to
+    have room in a row: larger ones are split where they lie. ``read_inventory`` is for those who do not need the contents.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    listed = (reader.option("pathGlobFilter", glob) if glob else reader).load(uri)
-    seen = listed.select(_relative(uri).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    hidden = F.exists(F.split("rel_path", "/"), lambda p: p.startswith("_") | p.startswith("."))
-    rest = read_inventory(spark, uri, glob=glob).where((F.col("size") == 0) | hidden)
-    with_content = rest.mapInArrow(file_contents(uri), "rel_path string, size bigint, mtime timestamp, content binary")
-    found = seen.where(~((F.col("size") == 0) | hidden)).unionByName(with_content)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = read_inventory(spark, uri, glob=glob).repartition(parts)
+    found = files.mapInArrow(file_contents(uri), "rel_path string, size bigint, mtime timestamp, content binary")
     return found.select("*", F.sha2("content", 256).alias("full_hash"), F.ceil(F.col("size") / chunk_bytes).cast("bigint").alias("chunk_count"))
 
 
