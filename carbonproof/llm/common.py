@@ -2,70 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carbonproof.functions.scratch import discard, dropping_shuffles, materialise, scratch_path, scratch_root, setting, small_batches
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a new temporary one where it is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="carbonproof-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """The session's setting has another value for what is written inside this block."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def dropping_shuffles(spark: SparkSession):
-    """Writes inside this block remove their shuffle files as soon as they end, to hold less disk."""
-    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """What is written inside this block goes to Python workers in Arrow batches of at most ``rows`` rows."""
-    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    A lost executor costs its running tasks only, and no later job computes ``df`` again.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    with dropping_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_folder = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the folders of tables that ``materialise`` wrote, once nothing reads them any more."""
-    for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.scratch_folder)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "dropping_shuffles", "materialise", "scratch_path", "scratch_root", "setting", "small_batches"]
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -83,45 +83,66 @@ def test_top_k_takes_exactly_k(spark):
         assert {r["id"] for r in df.where(quality_classifier.top_k(df, "key", k, "id")).collect()} == want
 
 
-def test_op3_equals_brute_force(spark):
+def _near_groups_of_all_pairs(spark, norms):
+    """Smallest line of each group by edit distance of all pairs, whole lines, without any keys."""
+    rows = spark.createDataFrame(list(enumerate(norms)), "i int, x string")
+    other = rows.toDF("j", "y")
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * 0.2 + 1e-9).cast("int")
+    close = rows.join(other, F.col("i") < F.col("j")).withColumn("k", most).where(F.abs(F.length("x") - F.length("y")) <= F.col("k"))
+    links = close.where(F.expr("levenshtein(x, y, k) >= 0")).select("i", "j").collect()
+    return roots(len(norms), links), {(r["i"], r["j"]) for r in links}
+
+
+def test_op3_equals_edit_distance_of_all_pairs(spark):
+    """What ``dedup_lines`` drops, by length of line: nothing that is not near, and of what is near, nine in ten at least in each class and all tiny ones."""
     rng = random.Random(5)
-    words = [f"w{k:03d}xyz" for k in range(400)]
-    lines = [" ".join(rng.choices(words, k=rng.randrange(5, 90))) for _ in range(60)]
-    for k in range(40):
-        w = lines[k].split()
-        w[rng.randrange(len(w))] = rng.choice(words)
-        lines.append(" ".join(w).upper() + "!")
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(900)]
+    lines, classes = [], {}
+    for size, low, high in ((2, 5, 11), (5, 20, 39), (12, 40, 120), (40, 150, 400), (150, 600, 1200)):
+        for _ in range(30):
+            base = " ".join(rng.choices(words, k=size))[:high]
+            base = base + "x" * (low - len(base))
+            parts = base.split(" ")
+            at = rng.randrange(len(parts))
+            letter = rng.randrange(len(base))
+            near = base[:letter] + "z" + base[letter + 1 :] if size < 12 else " ".join([*parts[:at], rng.choice(words), *parts[at + 1 :]])
+            half = len(parts) // 2
+            lines += [base, near, " ".join(parts[half:] + parts[:half])]
+            classes |= {x: size for x in lines[-3:]}
+    lines = [re.sub(" +", " ", x).strip() for x in dict.fromkeys(lines)]
     rng.shuffle(lines)
-    rows = [(k, "\n".join(lines[4 * k : 4 * k + 4])) for k in range(25)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    rows = line_dedup.occurrences(docs).withColumn("content", F.md5("norm"))
-    found = rows.join(line_dedup.line_fingerprints(rows.select("content", "norm").distinct()), "content").orderBy("doc_id", "line_no").collect()
-
-    def levenshtein(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    for r in found:
-        votes = [0] * 64
-        for w in r["norm"].split(" "):
-            h = xxhash.xxh64_intdigest(w.encode(), 42)
-            for b in range(64):
-                votes[b] += (1 if h >> b & 1 else -1) * min(7, -(-len(w) // 3))
-        assert r["fp"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if votes[b] > 0)
-    links = []
-    for i, a in enumerate(found):
-        for j, b in enumerate(found[:i]):
-            if ((a["fp"] ^ b["fp"]) & (1 << 64) - 1).bit_count() <= 3 and levenshtein(a["norm"], b["norm"]) <= int(0.2 * max(len(a["norm"]), len(b["norm"])) + 1e-9):
-                links.append((j, i))
-    want = roots(len(found), links)
-    assert links and {(found[k]["doc_id"], found[k]["line_no"]) for k in range(len(found)) if want[k] != k} == {
-        (r["doc_id"], n) for r in line_dedup.duplicate_lines(docs).collect() for n in r["dropped"]
-    }
+    lines = list(dict.fromkeys(lines))
+    first, links = _near_groups_of_all_pairs(spark, lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(5)
+    dropped = {r["doc_id"] for r in line_dedup.dedup_lines(docs, keep_count=True).where("n_dropped > 0").collect()}
+    want = {i for i, f in enumerate(first) if f != i}
+    assert dropped <= want
+    for size in set(classes.values()):
+        own = {i for i in want if classes.get(lines[i]) == size}
+        assert len(own) >= 20 and len(own & dropped) >= (1 if size == 2 else 0.9) * len(own), (size, len(own), len(own & dropped))
+
+
+def test_op3_tiny_lines_share_a_key(spark):
+    """Every near pair of which one line has fewer than TINY characters has a common key, with edits of any kind."""
+    rng = random.Random(6)
+    lines = {"".join(rng.choices("abc", k=rng.randrange(1, 15))).strip() or "a" for _ in range(900)}
+    lines = sorted(re.sub(" +", " ", x) for x in lines)
+    _, links = _near_groups_of_all_pairs(spark, lines)
+    tiny = {(i, j) for i, j in links if min(len(lines[i]), len(lines[j])) < line_dedup.TINY}
+    keys = {}
+    for r in line_dedup.tiny_keys(spark.createDataFrame(list(enumerate(lines)), "line_id bigint, norm string"), 0.8).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    assert len(tiny) > 200 and all(keys[i] & keys[j] for i, j in tiny)
+
+
+def test_op3_long_lines_are_compared_in_order(spark):
+    rng = random.Random(7)
+    words = [f"word{k}" for k in range(5000)]
+    base = rng.choices(words, k=1500)
+    copies = [base, base[750:] + base[:750], base[:700] + ["other"] * 9 + base[709:], rng.choices(words, k=1500), base[:1000]]
+    copies += [base[:100], base[50:100] + base[:50]]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(copies)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs, keep_count=True).where("n_dropped > 0").collect()} == {2}
 
 
 def test_op4_distance_and_planted_passages(spark, sf_dir, texts):
