@@ -3,12 +3,13 @@
 Pages of a host are ordered by URL path and each is paired with its nearest neighbour of other content.
 The text lines of the two are aligned by a longest common subsequence, and lines that they share are the
 site's, not the page's: they are deleted. Lines inside an article element stay, since two articles may well
-have a line in common; those inside menus, adverts and other chrome always go.
+have a line in common, but for lines wholly of inline elements with a class of chrome; those inside menus, adverts and other chrome always go.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,13 +22,18 @@ from pyspark.sql import functions as F
 from carbonproof.llm.common import materialise
 
 # Elements by what they mean for the text.
-RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "math", "canvas", "textarea", "select", "title")
+RAW = ("script", "style", "template", "textarea", "title")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 INLINE = (
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "mfrac", "mi", "mn", "mo", "mrow", "ms", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "semantics",
 )
-CHROME = ("nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head")
+CHROME = (
+    "nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head", "noscript", "svg", "iframe", "object", "canvas", "select", "annotation",
+)
+#: What a list of choices may hold; any other element ends it.
+CHOICES = ("option", "optgroup", "hr")
 MAIN = ("article", "main")
 # Words in a class, id or role that mark chrome.
 CHROME_WORDS = (
@@ -43,89 +49,126 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _WORDS = frozenset(CHROME_WORDS)
-#: Roles of a line: inside an article, inside chrome, or neither.
-ARTICLE, IN_CHROME, OPEN = "a", "c", "o"
+#: Roles of a line: inside an article, inside chrome, neither, or wholly of inline elements that only a word of their class calls chrome.
+ARTICLE, IN_CHROME, OPEN, WEAK = "a", "c", "o", "w"
 #: Share of the lines of two pages from which they count as the same.
 NEARLY = 0.9
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
-    if tag in CHROME:
-        return True
+def _named_chrome(tag: str, attributes: str) -> bool:
+    """Whether a word of the class, id or role says chrome."""
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     names = " ".join("".join(m) for m in _NAMED.findall(attributes)).lower()
     return not _WORDS.isdisjoint(re.split(r"[^a-z]+", names))
 
 
-def page_lines(page: str | None) -> list[tuple[str, str]]:
-    """Text blocks of a page in order, each with its role; white space is one space and trimmed."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
-    buffer: list[str] = []
-    role = OPEN
-
-    def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
-        buffer.clear()
+class _Lines:
+    """Text blocks of a page while its tags are read."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple[str, str]] = []
+        self.role, self.weak = OPEN, False
+        self.stack: list[tuple[str, str, bool]] = []
+        self.open: Counter[str] = Counter()
+        self.buffer: list[str] = []
+        self.certain = False
+
+    def text(self, text: str) -> None:
+        self.buffer.append(text)
+        self.certain |= not self.weak and not text.isspace()
+
+    def flush(self) -> None:
+        text = _SPACE.sub(" ", html.unescape("".join(self.buffer))).strip()
         if text:
-            out.append((text, role))
+            self.out.append((text, self.role if self.certain or self.role == IN_CHROME else WEAK))
+        self.buffer.clear()
+        self.certain = False
+
+    def begin(self, tag: str, attributes: str) -> None:
+        if self.stack and self.stack[-1][0] == "select" and tag not in CHOICES and tag not in INLINE:
+            self.end("select")
+        inner, weak = self.role, self.weak
+        if self.role != IN_CHROME:
+            named = _named_chrome(tag, attributes)
+            if tag in CHROME or (named and tag not in INLINE) or (tag == "header" and self.role == OPEN):
+                inner = IN_CHROME
+            elif tag in MAIN or "role=main" in attributes.replace('"', "").replace("'", "").lower():
+                inner = ARTICLE
+            weak |= named
+        if inner != self.role:
+            self.flush()
+        if tag not in ("p", "li", "td", "tr", "dt", "dd", "option") or inner != self.role:
+            self.stack.append((tag, self.role, self.weak))
+            self.open[tag] += 1
+        self.role, self.weak = inner, weak
+
+    def end(self, tag: str) -> None:
+        """Close the innermost open element of this name, and what is open in it; an end tag of none is passed over."""
+        while self.open[tag]:
+            name, role, weak = self.stack.pop()
+            self.open[name] -= 1
+            if role != self.role:
+                self.flush()
+            self.role, self.weak = role, weak
+            if name == tag:
+                break
 
+
+def page_lines(page: str | None) -> list[tuple[str, str]]:
+    """Text blocks of a page in order, each with its role; white space is one space and trimmed."""
+    lines = _Lines()
     for m in _TOKEN.finditer(page or ""):
         tag = m[3]
         if tag is None:
-            text = m[0]
-            if m[1]:
-                flush()
-            elif not text.startswith("<") or text == "<":
-                buffer.append(text)
+            if not m[1] and (not m[0].startswith("<") or m[0] == "<"):
+                lines.text(m[0])
             continue
         tag = tag.lower()
         if tag not in INLINE:
-            flush()
+            lines.flush()
         if tag in VOID or m[4].endswith("/"):
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if role != stack[k][1]:
-                        flush()
-                    role = stack[k][1]
-                    del stack[k:]
-                    break
-            continue
-        inner = role
-        if role != IN_CHROME:
-            if _is_chrome(tag, m[4]) or (tag == "header" and role == OPEN):
-                inner = IN_CHROME
-            elif tag in MAIN or "role=main" in m[4].replace('"', "").replace("'", "").lower():
-                inner = ARTICLE
-        if inner != role:
-            flush()
-        if tag not in ("p", "li", "td", "tr", "dt", "dd", "option") or inner != role:
-            stack.append((tag, role))
-        role = inner
-    flush()
-    return out
+            lines.end(tag)
+        else:
+            lines.begin(tag, m[4])
+    lines.flush()
+    return lines.out
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``, bit-parallel by rows of ``a``."""
+    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``, bit-parallel by rows of ``a``.
+
+    Only every so many rows are kept, and those between are made again on the way back, so that a pair of
+    pages of n lines each takes about n times the root of n bits.
+    """
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
-    full, rows = (1 << len(b)) - 1, [0]
-    for x in a:  # a set bit j means: the subsequence grows at b[j]
-        grown = rows[-1] | where.get(x, 0)
-        shifted = rows[-1] << 1 | 1
-        rows.append(grown & (grown ^ (grown - shifted)) & full)
+    full, step = (1 << len(b)) - 1, max(1, math.isqrt(len(a)))
+
+    def rows(first: int, row: int, stop: int) -> Iterator[int]:
+        """Rows after ``first`` to ``stop``; a set bit j means: the subsequence grows at b[j]."""
+        for x in a[first:stop]:
+            grown = row | where.get(x, 0)
+            row = grown & (grown ^ (grown - (row << 1 | 1))) & full
+            yield row
+
+    kept, row = [0], 0
+    for i, row in enumerate(rows(0, 0, len(a)), 1):
+        if i % step == 0:
+            kept.append(row)
     out, end = [], len(b)
-    for i in range(len(a), 0, -1):
-        mask = (1 << end) - 1
-        now, before = rows[i] & mask, rows[i - 1] & mask
-        if now.bit_count() > before.bit_count():
-            out.append(i - 1)
-            end = now.bit_length() - 1
+    for k in range(len(kept) - 1, -1, -1):
+        first, stop = k * step, min(len(a), (k + 1) * step)
+        part = [kept[k], *rows(first, kept[k], stop)]
+        for i in range(stop, first, -1):
+            mask = (1 << end) - 1
+            now, before = part[i - first] & mask, part[i - 1 - first] & mask
+            if now.bit_count() > before.bit_count():
+                out.append(i - 1)
+                end = now.bit_length() - 1
     return out[::-1]
 
 
@@ -233,7 +276,7 @@ def _differenced(rows: DataFrame) -> DataFrame:
     """Text of each page from its lines, roles and hashes and its mate's hashes."""
 
     def text(lines: list[str], roles: str, mine: list[int], other: list[int] | None) -> str:
-        shared = set(common_lines(mine, other)) if other else set()
+        shared = set(common_lines(mine, other)) if other and roles.strip(ARTICLE) else set()
         return "\n".join(x for k, (x, role) in enumerate(zip(lines, roles, strict=True)) if role == ARTICLE or k not in shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """License scan by ordered signature rules.
 
-Hundreds of patterns are written from small tables of licence families, versions and wordings. Each
+Hundreds of patterns are written out as sentences of licence texts, or from small tables of licence families, versions and wordings. Each
 has a keyword, one word of its own, and most a second word beside it: a pattern is tried only on texts that
 contain both, and a text without any keyword costs one alternation. Rules are ordered by priority. A detection that lies inside a
 detection of a higher priority, or inside a longer one of the same priority, is suppressed.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carbonproof.llm.common import computed, whole_text
@@ -69,14 +69,137 @@ CONTEXTS = ("under", "license", "licence")
 # Creative Commons conditions and versions.
 CC_CONDITIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-# Single signatures as (words, label, priority, confidence).
+# Sentences of licence texts, of their notices and exceptions, by label. Long ones identify a text by themselves.
+TEXTS = {
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    "x11": ("shall not be used in advertising or otherwise to promote the sale use or other dealings in this software",),
+    "json": ("the software shall be used for good not evil",),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted",
+    ),
+    "0bsd": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided",),
+    "hpnd": ("permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee",),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification",
+        "redistributions of source code must retain the above copyright notice",
+        "redistributions in binary form must reproduce the above copyright notice",
+        "this software is provided by the copyright holders and contributors as is",
+        "this software is provided by the regents and contributors as is",
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+    ),
+    "bsd-3-clause": (
+        "neither the name of the copyright holder nor the names of its contributors",
+        "neither the name of the university nor the names of its contributors may be used to endorse or promote products",
+    ),
+    "bsd-4-clause": ("all advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "ncsa": ("university of illinois ncsa open source license",),
+    "apache-1": ("the names apache server and apache group must not be used to endorse or promote products",),
+    "apache-1.1": ("this product includes software developed by the apache software foundation",),
+    "apache-2": (
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "you must cause any modified files to carry prominent notices stating that you changed the files",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license",
+    ),
+    "mpl-1.1": ("the contents of this file are subject to the mozilla public license",),
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+    ),
+    "mpl-2-no-copyleft-exception": ("incompatible with secondary licenses as defined by the mozilla public license",),
+    "epl": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "the accompanying program is provided under the terms of this eclipse public license",
+    ),
+    "cpl": ("the accompanying program is provided under the terms of this common public license",),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution license",),
+    "eupl": ("this european union public licence the eupl applies to the work or software",),
+    "osl": ("this open software license the license applies to any original work of authorship",),
+    "afl": ("this academic free license the license applies to any original work of authorship",),
+    "upl": ("subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data",),
+    "artistic-1": ("the intent of this document is to state the conditions under which a package may be copied",),
+    "artistic-2": ("this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed",),
+    "ruby": ("you may make and give away verbatim copies of the source form of the software without restriction",),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    ),
+    "bsl-1": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest",
+    ),
+    "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "you just do what the fuck you want to"),
+    "beerware": ("as long as you retain this notice you can do whatever you want with this stuff",),
+    "gpl": (
+        "you should have received a copy of the gnu general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "this program is distributed in the hope that it will be useful but without any warranty",
+        "without even the implied warranty of merchantability or fitness for a particular purpose",
+        "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+        "the licenses for most software are designed to take away your freedom to share and change it",
+    ),
+    "gpl-2-or-later": ("either version 2 of the license or at your option any later version",),
+    "gpl-3-or-later": ("either version 3 of the license or at your option any later version",),
+    "gpl-3": ("the licenses for most software and other practical works are designed to take away your freedom to share and change the works",),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+        "you should have received a copy of the gnu lesser general public license",
+    ),
+    "lgpl-2": ("this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license",),
+    "lgpl-2.1-or-later": ("either version 2.1 of the license or at your option any later version",),
+    "agpl-3": (
+        "under the terms of the gnu affero general public license as published by",
+        "your modified version must prominently offer all users interacting with it remotely through a computer network",
+    ),
+    "gfdl": (
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
+        "with no invariant sections no front cover texts and no back cover texts",
+    ),
+    "classpath-exception": (
+        "linking this library statically or dynamically with other modules is making a combined work based on this library",
+        "give you permission to link this library with independent modules to produce an executable",
+    ),
+    "gcc-exception": (
+        "as a special exception you may use this file as part of a free software library without restriction",
+        "you are granted additional permissions described in the gcc runtime library exception",
+    ),
+    "autoconf-exception": ("if you distribute this file as part of a program that contains a configuration script generated by autoconf",),
+    "bison-exception": ("as a special exception you may create a larger work that contains part or all of the bison parser skeleton",),
+    "openssl-exception": ("permission to link the code of portions of this program with the openssl library",),
+    "openssl": ("this product includes software developed by the openssl project for use in the openssl toolkit",),
+    "psf": ("this license agreement is between the python software foundation", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    "php": ("this product includes php software freely available from",),
+    "sleepycat": ("redistributions in any form must be accompanied by information on how to obtain complete source code",),
+    "ofl": ("this font software is licensed under the sil open font license", "the fonts and derivatives however cannot be released under any other type of license"),
+    "lppl": ("this work may be distributed and or modified under the conditions of the latex project public license",),
+    "cecill": ("this software is governed by the cecill license under french law",),
+    "cc": (
+        "the work as defined below is provided under the terms of this creative commons public license",
+        "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons",
+        "the license may not give you all of the permissions necessary for your intended use",
+    ),
+    "cc0": (
+        "has waived all copyright and related or neighboring rights",
+        "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders",
+    ),
+    "odbl": ("this database is made available under the open database license",),
+    "pddl": ("the person associating a work with this document has dedicated the work to the commons",),
+    "busl": ("the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work",),
+    "sspl": ("if you make the functionality of the program or a modified version available to third parties as a service",),
+    "commons-clause": ("the license does not grant to you the right to sell the software",),
+    "proprietary": ("this software is proprietary and confidential", "unauthorized copying of this file via any medium is strictly prohibited"),
+    "all-rights-reserved": ("no part of this publication may be reproduced",),
+}
+# Names and notices as (words, label, priority, confidence).
 SIGNATURES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 50, 1.0),
-    ("redistribution and use in source and binary forms with or without modification", "bsd", 50, 1.0),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc", 50, 1.0),
-    ("this is free and unencumbered software released into the public domain", "unlicense", 50, 1.0),
-    ("neither the name of the copyright holder nor the names of its contributors", "bsd-3-clause", 50, 1.0),
-    ("you should have received a copy of the gnu general public license", "gpl", 50, 1.0),
     ("the software is provided as is without warranty of any kind", "warranty-disclaimer", 40, 0.6),
     ("creative commons attribution sharealike", "cc-by-sa", 40, 0.9),
     ("creative commons attribution noncommercial", "cc-by-nc", 40, 0.9),
@@ -88,7 +211,22 @@ SIGNATURES = (
     ("dedicated to the public domain", "public-domain", 20, 0.7),
     ("all rights reserved", "all-rights-reserved", 10, 0.5),
     ("spdx license identifier", "spdx", 10, 0.5),
+    ("microsoft public license", "ms-pl", 30, 0.9),
+    ("microsoft reciprocal license", "ms-rl", 30, 0.9),
+    ("zope public license", "zpl", 30, 0.9),
+    ("q public license", "qpl", 30, 0.9),
+    ("academic free license", "afl", 30, 0.9),
+    ("server side public license", "sspl", 30, 0.9),
+    ("business source license", "busl", 30, 0.9),
+    ("elastic license", "elastic", 30, 0.9),
+    ("open database license", "odbl", 30, 0.9),
+    ("open data commons attribution license", "odc-by", 30, 0.9),
+    ("sil open font license", "ofl", 30, 0.9),
+    ("python software foundation license", "psf", 30, 0.9),
+    ("latex project public license", "lppl", 30, 0.9),
 )
+#: Priority and confidence of a sentence of a licence text.
+TEXT_RANK = (50, 1.0)
 
 
 @dataclass(frozen=True)
@@ -116,6 +254,7 @@ def rules() -> list[Rule]:
     """All rules, the most important first."""
     out = [Rule(label, phrase.split()[0], _pattern(phrase), 15, 0.8, _context(phrase)) for phrase, label in BASE_PHRASES.items()]
     out += [Rule(label, max(words.split(), key=len), _pattern(words), priority, sure) for words, label, priority, sure in SIGNATURES]
+    out += [Rule(label, max(words.split(), key=len), _pattern(words), *TEXT_RANK) for label, texts in TEXTS.items() for words in texts]
     for label, names, versions in FAMILIES:
         for name in names:
             keyword = max(name.split(), key=len)
@@ -182,36 +321,35 @@ def detections(docs: DataFrame) -> DataFrame:
     tried = held.select("doc_key", "content", "contexts", F.explode_outer("present").alias("keyword"))
     tried = tried.join(F.broadcast(table), "keyword").where(F.array_contains("contexts", F.col("context")))
     found = F.regexp_extract_all("content", F.col("pattern"), F.lit(0))
+    tried = tried.withColumn("found", found).where(F.size("found") > 0)
     around = F.transform(F.split("content", F.col("pattern")), lambda x: F.length(x))
-    sizes = F.transform("found", lambda x: F.length(x))
-
-    def total(values: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(values, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    parts = F.arrays_zip(F.slice(around, F.lit(1), F.size("found")).alias("gap"), F.transform("found", lambda x: F.length(x)).alias("width"))
+    columns = ["priority", "label", "confidence"]
+    parts = tried.select("doc_key", "pattern", *columns, F.posexplode(parts).alias("at", "part")).repartition("doc_key")
+    stop = F.sum(F.col("part.gap") + F.col("part.width")).over(Window.partitionBy("doc_key", "pattern", *columns).orderBy("at")).cast("int")
+    spans = parts.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("part.width"))
+    spans = _outermost(spans.select("doc_key", "start", "stop", *columns).distinct())
+    span = F.struct("start", "stop", *columns)
+    return spans.groupBy("doc_key").agg(F.array_sort(F.collect_list(span)).alias("found"))
 
-    spans = tried.withColumn("found", found).where(F.size("found") > 0).withColumn("around", around)
-    starts = F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: total(F.col("around"), i) + total(sizes, i - 1))
-    spans = spans.withColumn("starts", starts).select(
-        "doc_key",
-        F.explode(F.arrays_zip("starts", sizes.alias("sizes"))).alias("at"),
-        F.struct("label", "priority", "confidence").alias("rule"),
-    )
-    spans = spans.select(
-        "doc_key",
-        F.struct(
-            F.col("at.starts").alias("start"),
-            (F.col("at.starts") + F.col("at.sizes")).alias("stop"),
-            "rule.priority",
-            "rule.label",
-            "rule.confidence",
-        ).alias("span"),
-    )
-    one = spans.groupBy("doc_key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
-    def inside(s: Column, t: Column) -> Column:
-        longer = (t["stop"] - t["start"]) > (s["stop"] - s["start"])
-        return (t["start"] <= s["start"]) & (t["stop"] >= s["stop"]) & ((t["priority"] > s["priority"]) | ((t["priority"] == s["priority"]) & longer))
+def _outermost(spans: DataFrame) -> DataFrame:
+    """Spans that lie in none of a higher priority and in no longer one of their own.
 
-    return one.select("doc_key", F.filter("spans", lambda s: ~F.exists(F.col("spans"), lambda t: inside(s, t))).alias("found"))
+    Spans of a text are gone through once by their start: the furthest stop so far of each
+    priority tells whether an earlier span holds the present one.
+    """
+    levels = sorted({r.priority for r in rules()})
+    so_far = Window.partitionBy("doc_key").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    alike = Window.partitionBy("doc_key", "priority").orderBy("start")
+    reached = spans.select(
+        "*", *[F.max(F.when(F.col("priority") == p, F.col("stop"))).over(so_far).alias(f"reach_{p}") for p in levels],
+        F.max("stop").over(alike.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("same_start"),
+        F.max("stop").over(alike.rangeBetween(Window.unboundedPreceding, -1)).alias("before"),
+    )
+    higher = F.greatest(F.lit(-1), *[F.when(F.col("priority") < p, F.col(f"reach_{p}")) for p in levels])
+    inside = (higher >= F.col("stop")) | (F.col("same_start") > F.col("stop")) | F.coalesce(F.col("before") >= F.col("stop"), F.lit(False))
+    return reached.where(~inside).select(*spans.columns)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

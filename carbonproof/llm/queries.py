@@ -40,7 +40,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.compact_all(size)
     where = store.manifest().select(F.col("shard_id").alias("_shard"), "shard_id", "tier", "n_rows", "n_bytes")
     placed = store.read().select("doc_id", "_shard", size.cast("bigint").alias("text_bytes"))
-    return placed.join(F.broadcast(where), "_shard").drop("_shard")
+    return placed.join(where, "_shard").drop("_shard")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from carbonproof.functions.canon import dense_ids
 from carbonproof.llm.common import dropping_shuffles, materialise
 
-#: Sequence numbers in a stretch that is planned on its own; no run crosses its end.
-STRETCH = 1 << 16
+#: Rows of a table of shards that are broadcast, at most; beyond, the planner decides how to join.
+MAX_BROADCAST = 200_000
 #: Columns that the store adds to the rows.
 RESERVED = ("_shard", "_sequence", "_part", "_folder", "_target", "_first")
 MANIFEST_SCHEMA = "shard_id string, folder string, sequence bigint, tier int, n_rows bigint, n_bytes bigint"
@@ -96,16 +97,36 @@ class ShardStore:
             raise FileExistsError(f"version {base + 1} exists already")
         return base + 1
 
+    def _place(self, folder: str) -> str:
+        return f"{self.root}/data/_folder={folder}"
+
+    def _live(self, shards: DataFrame, *extra: str) -> DataFrame:
+        """The rows of shards ``(shard_id, folder, ...)`` with ``_shard``, ``_folder`` and the extra columns.
+
+        One scan however many writes there were: folders and shards are partitions of one table, and the join prunes them.
+        """
+        folders = [r[0] for r in shards.select("folder").distinct().collect()]
+        if not folders:
+            raise ValueError(f"{self.root} holds no rows")
+        held = self.spark.read.option("basePath", f"{self.root}/data").parquet(*map(self._place, sorted(folders)))
+        held = held.withColumn("_shard", F.col("_shard").cast("string")).withColumn("_folder", F.col("_folder").cast("string"))
+        wanted = shards.select(F.col("shard_id").alias("_shard"), F.col("folder").alias("_folder"), *extra)
+        return held.join(self._small(wanted), ["_shard", "_folder"])
+
+    def _small(self, shards: DataFrame) -> DataFrame:
+        """Broadcast a table of shards if it has so few rows."""
+        return F.broadcast(shards) if shards.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else shards
+
     def _write(self, rows: DataFrame, n_shards: int, size: Column) -> DataFrame:
         """Write rows that have ``_part`` (0 to n_shards-1), ``_shard``, ``_sequence``; return their manifest rows.
 
         Every shard is one file, written by one task; the shard's statistics are read back from it.
         """
-        folder = f"data/{uuid.uuid4().hex}"
+        folder = f"f{uuid.uuid4().hex}"
         placed = rows.repartitionById(max(n_shards, 1), F.col("_part").cast("int")).drop("_part")
         with dropping_shuffles(self.spark):
-            placed.write.partitionBy("_shard").option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        written = self.spark.read.schema(placed.schema).parquet(f"{self.root}/{folder}")
+            placed.write.partitionBy("_shard").option("compression", "zstd").parquet(self._place(folder))
+        written = self.spark.read.schema(placed.schema).parquet(self._place(folder))
         return written.groupBy(F.col("_shard").cast("string").alias("shard_id")).agg(
             F.lit(folder).alias("folder"), F.min("_sequence").alias("sequence"), F.count("*").alias("n_rows"), F.sum(size).cast("bigint").alias("n_bytes")
         ).withColumn("tier", self.policy.tier(F.col("n_bytes")))
@@ -134,40 +155,41 @@ class ShardStore:
 
         A run is a row of neighbours (by sequence) of one tier below the target. Sizes are summed
         along the run and cut at every multiple of the target. Runs that would leave as many shards
-        as they have stay for a later compaction. The table has a row per shard, not per record.
+        as they have stay for a later compaction. The table has a row per shard, not per record; it is
+        gone through by ranges of the sequence, and what leads from one range into the next is a row for each.
         """
-        target, order = self.policy.target_bytes, Window.partitionBy("stretch").orderBy("sequence")
-        shards = self.manifest().withColumn("stretch", F.floor(F.col("sequence") / STRETCH))
+        target, parts = self.policy.target_bytes, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        shards = self.manifest().repartitionByRange(parts, "sequence").sortWithinPartitions("sequence")
+        shards = materialise(shards.withColumn("part", F.spark_partition_id()), "plan")
+        order = Window.partitionBy("part").orderBy("sequence")
         shards = shards.withColumn("change", (F.lag("tier").over(order) != F.col("tier")).cast("int"))
-        runs = shards.withColumn("run", F.sum(F.coalesce("change", F.lit(0))).over(order)).where(F.col("n_bytes") < target)
-        along = Window.partitionBy("stretch", "run").orderBy("sequence")
-        pieces = runs.withColumn("piece", F.floor((F.sum("n_bytes").over(along) - F.col("n_bytes")) / target).cast("bigint"))
-        whole = Window.partitionBy("stretch", "run", "piece")
-        return (
-            pieces.withColumn("members", F.count("*").over(whole))
-            .withColumn("first", F.min("sequence").over(whole))
-            .where(F.col("members") >= self.policy.min_run)
-        )
+        ends = shards.groupBy("part").agg(F.min_by("tier", "sequence").alias("first_tier"), F.max_by("tier", "sequence").alias("last_tier"), F.coalesce(F.sum("change"), F.lit(0)).alias("changes"))
+        ranges = Window.orderBy("part")  # a row for each range
+        ends = ends.withColumn("opens", F.coalesce((F.lag("last_tier").over(ranges) != F.col("first_tier")).cast("int"), F.lit(0)))
+        ends = ends.select("part", "opens", (F.sum(F.col("opens") + F.col("changes")).over(ranges) - F.col("changes")).alias("first_run"))
+        run = F.col("first_run") + F.sum(F.coalesce("change", F.lit(0))).over(order)
+        runs = shards.join(F.broadcast(ends), "part").withColumn("run", run).where(F.col("n_bytes") < target)
+        inside = Window.partitionBy("run", "part").orderBy("sequence")
+        over = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = runs.groupBy("run", "part").agg(F.sum("n_bytes").alias("bytes")).select("run", "part", F.coalesce(F.sum("bytes").over(over), F.lit(0)).alias("carried"))
+        before = F.col("carried") + F.sum("n_bytes").over(inside) - F.col("n_bytes")
+        pieces = runs.join(carried, ["run", "part"]).withColumn("piece", F.floor(before / target).cast("bigint"))
+        groups = pieces.groupBy("run", "piece").agg(F.count("*").alias("members"), F.min("sequence").alias("first"))
+        merged = groups.where(F.col("members") >= self.policy.min_run)
+        return pieces.join(merged, ["run", "piece"]).select("shard_id", "folder", "sequence", "tier", "n_rows", "n_bytes", "run", "piece", "members", "first")
 
     def compact(self, size: Column) -> bool:
         """Merge what ``plan`` names and commit; False if there is nothing to merge."""
         base, old = self.version(), self.manifest()
-        merges = self.plan().withColumn("_target", F.dense_rank().over(Window.orderBy("first")) - 1)
-        merges = materialise(merges.select("shard_id", "folder", "_target", F.col("first").alias("_first")), "merges")
-        n = merges.agg(F.count_distinct("_target")).first()[0]
+        merges = materialise(self.plan().select("shard_id", "folder", F.col("first").alias("_first")), "merges")
+        targets = dense_ids(merges.select("_first").distinct(), ["_first"], "_target")
+        n = targets.count()
         if not n:
             return False
-        folders = [r[0] for r in merges.select("folder").distinct().collect()]
-        live = None
-        for folder in folders:
-            part = self.spark.read.option("basePath", f"{self.root}/{folder}").parquet(f"{self.root}/{folder}")
-            part = part.withColumn("_shard", F.col("_shard").cast("string")).withColumn("_folder", F.lit(folder))
-            live = part if live is None else live.unionByName(part)
-        into = merges.select(F.col("shard_id").alias("_shard"), F.col("folder").alias("_folder"), "_target", "_first")
-        moved = live.join(F.broadcast(into), ["_shard", "_folder"]).withColumn("_part", F.col("_target"))
-        moved = moved.withColumn("_sequence", F.col("_first")).withColumn("_shard", shard_name(F.col("_first"))).drop("_target", "_first", "_folder")
-        new = self._write(moved, n, size)
-        kept = old.join(F.broadcast(merges.select("shard_id", "folder")), ["shard_id", "folder"], "left_anti")
+        merges = materialise(merges.join(targets, "_first"), "merges")
+        moved = self._live(merges, "_target", "_first").withColumnRenamed("_target", "_part").withColumn("_sequence", F.col("_first"))
+        new = self._write(moved.withColumn("_shard", shard_name(F.col("_first"))).drop("_first", "_folder"), n, size)
+        kept = old.join(self._small(merges.select("shard_id", "folder")), ["shard_id", "folder"], "left_anti")
         self._commit(kept.unionByName(new, allowMissingColumns=True), base)
         return True
 
@@ -179,14 +201,4 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version with the columns ``_shard`` and ``_sequence``."""
-        manifest = self.manifest(version)
-        folders = [r[0] for r in manifest.select("folder").distinct().collect()]
-        if not folders:
-            raise ValueError(f"{self.root} holds no rows")
-        out = None
-        for folder in folders:
-            part = self.spark.read.parquet(f"{self.root}/{folder}")
-            part = part.withColumn("_shard", F.col("_shard").cast("string")).withColumn("_folder", F.lit(folder))
-            out = part if out is None else out.unionByName(part)
-        live = manifest.select(F.col("shard_id").alias("_shard"), F.col("folder").alias("_folder"))
-        return out.join(F.broadcast(live), ["_shard", "_folder"], "left_semi").drop("_folder")
+        return self._live(self.manifest(version)).drop("_folder")

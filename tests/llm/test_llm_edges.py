@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,41 @@ def test_shards_of_columns_with_clashing_names(spark):
     assert store.version() == before and store.manifest().count() > 0
 
 
+def test_shards_of_many_appends_are_one_scan(spark):
+    store, size = sharding.ShardStore(spark, scratch_path(spark, "many"), sharding.Policy(1 << 20, 1 << 8, 4)), F.octet_length("text")
+    scans = []
+    for k in range(8):
+        store.append(spark.range(20 * k, 20 * k + 20).select("id", F.lit("some text").alias("text")), F.floor(F.col("id") / 5), size)
+        scans.append(store.read()._jdf.queryExecution().sparkPlan().toString().count("FileScan"))
+    assert set(scans) == {2}  # the manifest and the shards
+    store.compact_all(size)
+    assert store.manifest().count() == 1 and sorted(r["id"] for r in store.read().collect()) == list(range(160))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_of_shards_equals_a_walk_along_them(spark, seed):
+    """Runs and their cuts, also where a run goes over the borders of the ranges in which they are planned."""
+    rng = random.Random(seed)
+    policy = sharding.Policy(1000, 20, 4)
+    sizes = [rng.choice([5, 30, 90, 90, 400, 1500]) if rng.random() < 0.3 else 30 for _ in range(300)]
+    places = sorted(rng.sample(range(10_000), len(sizes)))
+    tier = lambda n: sum(n >= b for b in (80, 320)) + (n >= 1000)
+    want, run, total, last = {}, 0, 0, None
+    for place, n in zip(places, sizes, strict=True):
+        if tier(n) != last:
+            run, total, last = run + 1, 0, tier(n)
+        if n < 1000:
+            want.setdefault((run, total // 1000), []).append(place)
+            total += n
+    rows = [(f"s{p}", "f", p, tier(n), 1, n) for p, n in zip(places, sizes, strict=True)]
+    store = sharding.ShardStore(spark, scratch_path(spark, "walk"), policy)
+    store.manifest = lambda version=None: spark.createDataFrame(rows, sharding.MANIFEST_SCHEMA)
+    got = {}
+    for r in store.plan().collect():
+        got.setdefault(r["first"], set()).add(r["sequence"])
+    assert got == {min(x): set(x) for x in want.values() if len(x) >= 2}
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, "http://h/a", None), (2, None, "<p>x</p>"), (None, "http://h/b", "<p>y</p>"), (3, "http://h/c", ""), (3, "http://h/c", ""), (4, "::", "<p>z" + " w" * 50_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

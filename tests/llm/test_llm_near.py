@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from carbonproof.llm import html_extract, license_scan, line_dedup, quality_classifier, simhash
-from carbonproof.queries import flow
 
 
 def varied(rng, words, text, share):
@@ -76,6 +77,51 @@ def test_op10_copies_without_an_article_keep_their_text(spark):
     assert alone == {1: "Site\nfirst 0\nsecond 0", 2: "Site\nfirst 0\nsecond 0"}
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<p>He has <span class='share-count'>5</span> of <a class=ad href=x>them</a>.</p>", "He has 5 of them."),
+        ("<p>a<select><option>x<option>y<p>b</p><div>c</div>", "a\nb\nc"),
+        ("<div><p>a</p><select><option>x</div><p>b</p>", "a\nb"),
+        ("<p>Since <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></math> holds</p>", "Since x=y2 holds"),
+        ("<p>a</p><noscript><p>no</p></noscript><svg><text>no</text></svg><p>b</p>", "a\nb"),
+        ("<p>a<script>if (a < b) {}</script><style>p {}</style> b</p>", "a b"),
+        ("<div class='share-bar'><p>no</p></div></section></b></i><p>a</p>", "a"),
+        ("<p>a &lt; b &amp;amp; c</p><textarea>no</textarea>", "a < b &amp; c"),
+    ],
+)
+def test_op10_odd_pages_lose_no_text(spark, body, text):
+    lines = html_extract.page_lines(f"<body><nav>menu</nav><article>{body}</article><footer>end</footer></body>")
+    assert "\n".join(t for t, r in lines if r != html_extract.IN_CHROME) == text
+
+
+def test_op10_inline_chrome_is_decided_by_the_neighbour(spark):
+    page = "<body><article><p>text {0}</p><span class='share'>Share this</span><p><a class='related'>see {0}</a></p></article></body>"
+    assert extracted(spark, [(k, f"http://h/{k}", page.format(k)) for k in range(3)]) == {k: f"text {k}\nsee {k}" for k in range(3)}
+
+
+def test_op10_very_long_pages():
+    """Stray end tags, deep nesting and long alignments take time and memory in proportion, or nearly."""
+    began = time.perf_counter()
+    assert [t for t, _ in html_extract.page_lines("<article>" + "<b>" * 50_000 + "</i></section>" * 50_000 + "a</article>")] == ["a"]
+    lines = html_extract.page_lines("<article>" + "<p>x</p>" * 100_000 + "</article>")
+    assert len(lines) == 100_000 and time.perf_counter() - began < 20
+    a, b = list(range(20_000)), [k for k in range(20_000) if k % 3] + [7]
+    assert html_extract.common_lines(a, b) == [k for k in range(20_000) if k % 3]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_op10_alignment_is_a_longest_one(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.randrange(6) for _ in range(rng.randrange(30))] for _ in range(2))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    got, rest = html_extract.common_lines(a, b), iter(b)
+    assert len(got) == best[-1][-1] and all(x in rest for x in (a[i] for i in got))
+
+
 def test_op9_first_word_after_characters_beyond_ffff(spark):
     rows = [(1, "\U0001f600 \U0001f600 x mit license"), (2, "mit license \U0001f600 mit license")]
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
@@ -92,6 +138,22 @@ def test_op9_short_forms_and_gates(spark):
         assert (label in labels) if label else not labels, (text, labels)
 
 
+def test_op9_many_matches_in_one_text(spark):
+    """Work is in proportion to the matches: 20,000 of them in one text, and nested ones of several rules."""
+    n = 20_000
+    text = "MIT license,\nand " * n + "\U0001f600 licensed under the GNU GPL v3"
+    row = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    kept = [d for d in row["detections"] if d["label"] == "mit"]
+    assert [d["start"] for d in kept] == [17 * i for i in range(n)] and row["n_base"] == n and (row["first_word"], row["last_word"]) == (0, 3 * n - 3)
+    assert {d["label"] for d in row["detections"]} == {"mit", "gpl", "gpl-3"} and row["labels"] == "gpl,gpl-3,mit"
+
+
+def test_op9_sentences_of_licence_texts(spark):
+    rows = [(k, f"# {words.replace(' ', ' * ', 2).upper()}.", label) for k, (label, words) in enumerate((a, w) for a, ws in license_scan.TEXTS.items() for w in ws)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string, label string")).collect()}
+    assert len(rows) > 90 and all(label in got[k] for k, _, label in rows)
+
+
 def test_op9_rules_equal_brute_force(spark, sf_dir):
     import re
 
@@ -134,14 +196,6 @@ def test_op2_verdict_on_a_word_does_not_depend_on_other_words(spark):
     assert few[awful] < -1 and many[awful] < -1
 
 
-def test_stream_progress_waits_for_the_span_of_the_events(spark):
-    ids = spark.range(400).withColumn("at", F.pmod(F.col("id") * 37, F.lit(400)))
-    columns = [F.timestamp_seconds(1704067200 + F.col("at") * 86400).alias("ts"), F.lit(1).cast("bigint").alias("bytes"), F.lit(True).alias("item_done")]
-    events = ids.select("id", *columns)
-    got = flow.progress_windows(events).agg(F.count("*"), F.sum("bytes")).first()
-    assert tuple(got) == (400, 400)
-
-
 def test_op2_grams_equal_brute_force(monkeypatch):
     import re
     from collections import Counter

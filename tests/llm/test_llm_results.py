@@ -170,6 +170,30 @@ def test_op4_distance_and_planted_passages(spark, sf_dir, texts):
     assert all(r["start_word"] < r["stop_word"] and r["distance"] <= 0.2 * r["n_item_words"] for r in got)
 
 
+def test_op4_equals_the_distance_over_whole_texts(spark, sf_dir, texts):
+    """All pairs, without pieces: the least distance of an item to any stretch of a text, for every item and text."""
+    rng = random.Random(3)
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(12).collect()} | {900: "one", 901: "of the", 902: None, 903: "!!"}
+    rows = {k: t for k, t in list(texts.items())[:60] if len(t) < 6000}
+    for k, text in items.items():
+        w = decontaminate.words_of(text)
+        for share in (0.05, 0.18, 0.25):
+            near = [x for y in w for x in ([] if rng.random() < share / 3 else [y, "more"] if rng.random() < share / 3 else ["other"] if rng.random() < share / 3 else [y])]
+            rows[1000 * k + int(100 * share)] = " ".join(["before", *near, "after"] * 2)
+    got = decontaminate.contaminated(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()
+    want = set()
+    for d, t in rows.items():
+        words = decontaminate.words_of(t)
+        for i, text in items.items():
+            w = decontaminate.words_of(text)
+            if w and words and (best := decontaminate.best_match(w, words)[0]) <= int(0.2 * len(w)):
+                want.add((d, i, best))
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(want) > 20
+    for r in got:
+        stretch = decontaminate.words_of(rows[r["doc_id"]])[r["start_word"] : r["stop_word"]]
+        assert decontaminate.best_match(decontaminate.words_of(items[r["item_id"]]), stretch)[0] == r["distance"]
+
+
 def test_op5_base_columns_equal_brute_force(texts):
     for text in [*texts.values(), "a b c d e f g h " * 3, "x\n x\nx\n\n\n", "", None]:
         t = text or ""
@@ -194,6 +218,17 @@ def test_op5_rules_reject_and_keep(spark):
     assert df.where(quality_rules.rules_column(rules) > 0).count() == hit.sum()
 
 
+def test_op5_verdicts_on_labels_held_out(spark):
+    """Rules learned on two thirds of the labels: what they say of the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
+    out = quality_rules.quality_rules(docs, labels.where(~held)).join(labels.where(held), "doc_id").collect()
+    bad, good = ([r for r in out if (r["quality"] == 0 or r["toxic"] == 1) == b] for b in (True, False))
+    assert len(bad) > 20 and sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
+    assert len(good) > 50 and sum(not r["kept"] and not r["base_failed"] for r in good) <= 0.05 * len(good)
+    assert all(r["kept"] == (not r["base_failed"] and r["rule"] == 0) for r in out)
+
+
 def test_op6_equals_the_library(spark, sf_dir, texts):
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
