@@ -44,6 +44,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n-grams, importance and verdict of every document."""
     out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_grams", "log_importance", "kept")
 
@@ -55,33 +56,40 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it, with the least distance and its place."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the learned rules' verdict of every document."""
     out = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids of every document, and digests of the ids and of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return with_digests(encode_texts(_table(spark, sf_dir, "documents"), ranks, decoded=True))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     out = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licences of every document."""
     return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
