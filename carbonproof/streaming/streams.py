@@ -47,12 +47,11 @@ def keyed_state(spark: SparkSession):
 
 
 class Ranges:
-    """A set of whole numbers as half-open ranges; knows which of them changed."""
+    """A set of whole numbers as half-open ranges."""
 
     def __init__(self, ranges: Iterable[tuple[int, int]]) -> None:
         found = sorted(ranges)
         self.starts, self.stops = [a for a, _ in found], [b for _, b in found]
-        self._before = dict(found)
 
     def add(self, x: int) -> bool:
         """Whether ``x`` is new; it extends or joins its neighbours."""
@@ -72,16 +71,17 @@ class Ranges:
             self.stops.insert(at, x + 1)
         return True
 
-    def changes(self) -> tuple[dict[int, int], list[int]]:
-        """Ranges that are new or longer, and starts that are gone."""
-        now = dict(zip(self.starts, self.stops, strict=True))
-        return {a: b for a, b in now.items() if self._before.get(a) != b}, [a for a in self._before if a not in now]
+    def changes(self, stored: dict[int, int]) -> tuple[dict[int, int], list[int]]:
+        """How a map of all ranges but the first differs from them: ranges that are new or longer, and starts that are gone."""
+        now = dict(zip(self.starts[1:], self.stops[1:], strict=True))
+        return {a: b for a, b in now.items() if stored.get(a) != b}, [a for a in stored if a not in now]
 
 
 class ItemTracker(StatefulProcessor):
-    """Per item the ranges of chunks that came, a map of start to stop, beside bytes, number of chunks and total.
+    """Per item the ranges of chunks that came, beside bytes, number of chunks and total.
 
-    Chunks that come in order are one range however many they are; a batch writes only the ranges that it changed.
+    Chunks that come in order are one range however many they are. The first range stands with the sums; further ones are a
+    map of start to stop, which is read only if there are any, and of which a batch writes only what it changed.
     """
 
     def __init__(self, idle_ms: int | None) -> None:
@@ -90,23 +90,25 @@ class ItemTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ranges = handle.getMapState("ranges", "start bigint", "stop bigint")
-        self.sums = handle.getValueState("sums", "received bigint, chunks bigint, total bigint")
+        self.sums = handle.getValueState("sums", "received bigint, chunks bigint, total bigint, start bigint, stop bigint, others bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        received, chunks, total = self.sums.get() if self.sums.exists() else (0, 0, None)
-        ranges = Ranges((a, b) for (a,), (b,) in self.ranges.iterator())
+        received, chunks, total, start, stop, others = self.sums.get() or (0, 0, None, None, None, 0)
+        stored = {a: b for (a,), (b,) in self.ranges.iterator()} if others else {}
+        ranges = Ranges([*stored.items(), *([] if start is None else [(start, stop)])])
         for part in rows:
             for kind, index, size, end in part[["kind", "chunk_index", "len", "total"]].itertuples(index=False):
                 if kind == "end":
                     total = int(end)
                 elif ranges.add(int(index)):
                     received, chunks = received + int(size), chunks + 1
-        written, gone = ranges.changes()
-        for start in gone:
-            self.ranges.removeKey((start,))
-        for start, stop in written.items():
-            self.ranges.updateValue((start,), (stop,))
-        self.sums.update((received, chunks, total))
+        written, gone = ranges.changes(stored)
+        for at in gone:
+            self.ranges.removeKey((at,))
+        for at, until in written.items():
+            self.ranges.updateValue((at,), (until,))
+        first = (ranges.starts[0], ranges.stops[0]) if ranges.starts else (None, None)
+        self.sums.update((received, chunks, total, *first, max(0, len(ranges.starts) - 1)))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -115,8 +117,8 @@ class ItemTracker(StatefulProcessor):
         yield _tracked(key, received, chunks, total)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.sums.exists():
-            row = _tracked(key, *self.sums.get())
+        if state := self.sums.get():
+            row = _tracked(key, *state[:3])
             self.ranges.clear()
             self.sums.clear()
             yield row

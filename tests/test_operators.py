@@ -381,24 +381,23 @@ def test_copies_overlap_and_the_rest_is_cancelled(spark, sf_dir, tmp_path):
 
 def test_ranges_hold_few_runs():
     held = streams.Ranges([])
-    assert all(held.add(x) for x in range(1000)) and held.changes() == ({0: 1000}, [])
+    assert all(held.add(x) for x in range(1000)) and (held.starts, held.stops) == ([0], [1000])
     again = streams.Ranges([(0, 1000), (1001, 1003)])
     assert not again.add(999) and again.add(1000) and (again.starts, again.stops) == ([0], [1003])
-    assert again.changes() == ({0: 1003}, [1001])
+    assert again.changes({1001: 1003}) == ({}, [1001])
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 30)), st.lists(st.integers(0, 30)))
 def test_ranges_are_a_set(first, second):
     one = streams.Ranges([])
-    new = [one.add(x) for x in first]
-    assert sum(new) == len(set(first))
-    stored = one.changes()[0]
-    two = streams.Ranges(stored.items())
+    assert sum(one.add(x) for x in first) == len(set(first))
+    stored = one.changes({})[0]
+    two = streams.Ranges([*stored.items(), *zip(one.starts[:1], one.stops[:1], strict=True)])
     for x in second:
         two.add(x)
-    written, gone = two.changes()
-    now = {k: v for k, v in stored.items() if k not in gone} | written
+    written, gone = two.changes(stored)
+    now = {k: v for k, v in stored.items() if k not in gone} | written | dict(zip(two.starts[:1], two.stops[:1], strict=True))
     assert sorted(x for a, b in now.items() for x in range(a, b)) == sorted({*first, *second})
     assert all(b < c for (_, b), (c, _) in zip(sorted(now.items()), sorted(now.items())[1:]))
 
