@@ -1,15 +1,14 @@
 """License scan by ordered signature rules.
 
 Hundreds of patterns are written out as sentences of licence texts, or from small tables of licence families, versions and wordings. Each
-has a keyword, one word of its own, and most a second word beside it: a pattern is tried only on texts that
-contain both, and a text without any keyword costs one alternation. Rules are ordered by priority. A detection that lies inside a
+has a keyword, one word of its own: a pattern is tried only on texts that contain it and all other keywords among
+the pattern's words, and a text without any keyword costs one pass of an alternation by letters. Rules are ordered by priority. A detection that lies inside a
 detection of a higher priority, or inside a longer one of the same priority, is suppressed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +64,7 @@ WORDINGS = (
     ("{name} licence", 20, 0.8),
 )
 # The second words of gates.
-CONTEXTS = ("under", "license", "licence")
+CONTEXTS = ("licensed", "released", "distributed", "terms", "license", "licence")
 # Creative Commons conditions and versions.
 CC_CONDITIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
@@ -231,7 +230,8 @@ TEXT_RANK = (50, 1.0)
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: its pattern is tried on texts that contain ``keyword`` and ``context`` in any case of A-Z."""
+    """A signature: its pattern is tried on texts that contain, in any case of A-Z, ``keyword``, ``context`` and those of ``words``,
+    which every match has, that are keywords of any rule."""
 
     label: str
     keyword: str
@@ -239,6 +239,7 @@ class Rule:
     priority: int
     confidence: float
     context: str = ""
+    words: tuple[str, ...] = ()
 
 
 def _context(words: str) -> str:
@@ -252,20 +253,21 @@ def _pattern(words: str) -> str:
 
 def rules() -> list[Rule]:
     """All rules, the most important first."""
-    out = [Rule(label, phrase.split()[0], _pattern(phrase), 15, 0.8, _context(phrase)) for phrase, label in BASE_PHRASES.items()]
-    out += [Rule(label, max(words.split(), key=len), _pattern(words), priority, sure) for words, label, priority, sure in SIGNATURES]
-    out += [Rule(label, max(words.split(), key=len), _pattern(words), *TEXT_RANK) for label, texts in TEXTS.items() for words in texts]
+    out = [Rule(label, phrase.split()[0], _pattern(phrase), 15, 0.8, _context(phrase), tuple(phrase.split())) for phrase, label in BASE_PHRASES.items()]
+    out += [Rule(label, max(words.split(), key=len), _pattern(words), priority, sure, words=tuple(words.split())) for words, label, priority, sure in SIGNATURES]
+    out += [Rule(label, max(words.split(), key=len), _pattern(words), *TEXT_RANK, words=tuple(words.split())) for label, texts in TEXTS.items() for words in texts]
     for label, names, versions in FAMILIES:
         for name in names:
             keyword = max(name.split(), key=len)
             for wording, priority, sure in WORDINGS:
-                out.append(Rule(label, keyword, _pattern(wording.format(name=name)), priority, sure, _context(wording)))
+                words = wording.format(name=name)
+                out.append(Rule(label, keyword, _pattern(words), priority, sure, _context(wording), tuple(words.split())))
             for version in versions:
                 short = version.removesuffix(".0") if version.endswith(".0") else version
                 body = f"{name} license version {version}|{name} license v{version}|{name} version {version}|{name} v{version}|{name} {version}"
                 if " " not in name:  # GPLv3, LGPLv2.1
                     body += f"|{name}v{version}|{name}{version}"
-                out.append(Rule(f"{label}-{short}", keyword, "(?i)" + "|".join(_pattern(x)[4:] for x in body.split("|")), 35, 0.95))
+                out.append(Rule(f"{label}-{short}", keyword, "(?i)" + "|".join(_pattern(x)[4:] for x in body.split("|")), 35, 0.95, words=tuple(name.split())))
     for condition in CC_CONDITIONS:
         label = "cc-" + condition.replace(" ", "-")
         out.append(Rule(label, "cc", _pattern(f"cc {condition}"), 20 + len(condition), 0.85))
@@ -273,24 +275,30 @@ def rules() -> list[Rule]:
     return sorted(set(out), key=lambda r: (-r.priority, r.label, r.pattern))
 
 
+#: Any base phrase.
+ANY_PHRASE = "(?i)(?:" + "|".join(_pattern(p)[4:] for p in BASE_PHRASES) + ")"
+
+
 def _count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD + "+")).cast("bigint")
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base_labels of the base phrases in a whole text.
+def base_places(text: Column) -> Column:
+    """The base phrases of a whole text in order, as they stand there.
 
     Only texts that contain a part of every phrase, found without a pattern, are searched by one.
     """
-    lowered = F.lower(text)
-    likely = F.contains(lowered, F.lit("license")) | F.contains(lowered, F.lit("cc"))
-    any_phrase = "(?:" + "|".join(_pattern(p)[4:] for p in BASE_PHRASES) + ")"
-    places = F.when(likely, F.regexp_extract_all(text, F.lit("(?i)" + any_phrase), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+    likely = F.exists(F.array(F.lower(text)), lambda low: F.contains(low, F.lit("license")) | F.contains(low, F.lit("cc")))
+    return F.when(likely, F.regexp_extract_all(text, F.lit(ANY_PHRASE), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def base_columns(text: Column, places: Column) -> dict[str, Column]:
+    """n_words, n_base, first_word, last_word and base_labels of a whole text with these ``base_places``."""
     first_of = F.create_map(*[F.lit(x) for p, label in BASE_PHRASES.items() for x in (p.split()[0], label)])
     labels = F.transform(places, lambda m: first_of[F.lower(F.regexp_extract(m, "^[A-Za-z]+", 0))])
     found = F.size(places) > 0
-    head = F.element_at(F.split(text, "(?i)" + any_phrase, 2), 1)  # no offsets: these count UTF-16 units, substring code points
-    rest = F.regexp_extract(text, f"(?is)^(.*){any_phrase}", 1)
+    head = F.element_at(F.split(text, ANY_PHRASE, 2), 1)  # no offsets: these count UTF-16 units, substring code points
+    rest = F.regexp_extract(text, f"(?s)^(.*){ANY_PHRASE}", 1)
     return {
         "n_words": _count_words(text),
         "n_base": F.size(places).cast("bigint"),
@@ -300,6 +308,18 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
+def _by_letters(words: list[str]) -> str:
+    """A pattern of exactly these words that shares their beginnings, so that a position is given up after a letter or two."""
+    longer: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            longer.setdefault(word[0], []).append(word[1:])
+    body = "|".join(letter + _by_letters(ends) for letter, ends in sorted(longer.items()))
+    if not body:
+        return ""
+    return f"(?:{body})?" if "" in words else f"(?:{body})"
+
+
 def detections(docs: DataFrame) -> DataFrame:
     """Kept detections of each text that has any: ``(doc_key, label, priority, confidence, start, stop)`` in ``found``.
 
@@ -307,19 +327,19 @@ def detections(docs: DataFrame) -> DataFrame:
     contains; the rule table has a fixed size and is broadcast.
     """
     spark = docs.sparkSession
+    keywords = sorted({r.keyword for r in rules()})
     table = spark.createDataFrame(
-        [(r.keyword, r.pattern, r.label, r.priority, r.confidence, r.context) for r in rules()],
-        "keyword string, pattern string, label string, priority int, confidence double, context string",
+        [(r.keyword, r.pattern, r.label, r.priority, r.confidence, r.context, sorted({*r.words} & {*keywords})) for r in rules()],
+        "keyword string, pattern string, label string, priority int, confidence double, context string, needs array<string>",
     )
-    keywords = sorted({r.keyword for r in rules()})
-    gate = f"(?i){START}(" + "|".join(keywords) + f")(?:v?[0-9][0-9.]*)?{END}"
-    present = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(gate), F.lit(1)), lambda k: F.lower(k)))
-    contexts = F.array_compact(F.array(F.lit(""), *[F.when(F.contains("lowered", F.lit(c)), F.lit(c)) for c in CONTEXTS]))
-    likely = docs.withColumn("lowered", F.lower("content")).where(reduce(lambda a, b: a | b, [F.contains("lowered", F.lit(k)) for k in keywords]))
-    held = computed(likely, present=present, contexts=contexts).select("doc_key", "content", "present", "contexts")
-    held = held.where(F.size("present") > 0).dropDuplicates(["doc_key"])
-    tried = held.select("doc_key", "content", "contexts", F.explode_outer("present").alias("keyword"))
-    tried = tried.join(F.broadcast(table), "keyword").where(F.array_contains("contexts", F.col("context")))
+    letters = "".join(sorted({k[0] for k in keywords}))
+    gate = f"(?=[{letters}]){START}({_by_letters(keywords)})(?:v?[0-9][0-9.]*)?{END}"
+    present = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(gate), F.lit(1)))
+    held = computed(docs, present=present).where(F.size("present") > 0)
+    contexts = F.filter(F.array(*[F.lit(c) for c in ("", *CONTEXTS)]), lambda c: F.contains(F.lower("content"), c))
+    held = computed(held, contexts=contexts).select("doc_key", "content", "present", "contexts").dropDuplicates(["doc_key"])
+    tried = held.select("*", F.explode_outer("present").alias("keyword")).join(F.broadcast(table), "keyword")
+    tried = tried.where(F.array_contains("contexts", F.col("context")) & (F.size(F.array_except("needs", "present")) == 0))
     found = F.regexp_extract_all("content", F.col("pattern"), F.lit(0))
     tried = tried.withColumn("found", found).where(F.size("found") > 0)
     around = F.transform(F.split("content", F.col("pattern")), lambda x: F.length(x))
@@ -365,8 +385,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("doc_key"), whole_text(text_col).alias("content"))
     keyed = texts.where("doc_key is not null").withColumn("doc_key", F.struct("doc_key", F.xxhash64("content").alias("content_hash")))
     marked = detections(keyed).select("doc_key.doc_key", "doc_key.content_hash", "found")
-    places = base_columns(F.col("content"))
-    base = texts.select("doc_key", F.xxhash64("content").alias("content_hash"), *[c.alias(n) for n, c in places.items()])
+    placed = computed(texts, places=base_places(F.col("content")))
+    columns = base_columns(F.col("content"), F.col("places"))
+    base = placed.select("doc_key", F.xxhash64("content").alias("content_hash"), *[c.alias(n) for n, c in columns.items()])
     joined = base.join(marked, ["doc_key", "content_hash"], "left")
     spans = F.coalesce("found", F.expr("cast(array() as array<struct<start:int,stop:int,priority:int,label:string,confidence:double>>)"))
     base_list = F.filter(F.split("base_labels", ","), lambda x: x != "")
