@@ -242,3 +242,25 @@ def test_op2_filter_passes_every_frequent_gram(spark, monkeypatch):
     counted = {r["gram"]: r["n"] for r in quality_classifier._counts(texts, passing).collect()}
     assert counted.pop(0) == n.sum()
     assert counted == dict(zip(grams[passes].view(np.int64).tolist(), n[passes].tolist(), strict=True))
+
+
+def test_op3_word_counts_rule_out_no_near_pair(spark):
+    rng = random.Random(5)
+    pool = [f"word{i}" for i in range(300)]
+    lines = []
+    for _ in range(12):
+        base = [rng.choice(pool) for _ in range(rng.randint(36, 60))]
+        for edits in range(14):
+            words = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [rng.choice(pool)] * rng.randint(0, 1)
+            lines.append(" ".join(words))
+    lines = sorted(set(lines))
+    texts = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, norm string")
+    row = texts.select(F.col("line_id").alias("id"), F.length("norm").alias("size"), line_dedup.word_cells(F.col("norm")).alias("trait"))
+    other = row.select(*[F.col(c).alias(f"other_{c}") for c in row.columns])
+    pairs = row.join(other, F.col("id") < F.col("other_id")).select(F.col("id").alias("src"), F.col("other_id").alias("dst"), line_dedup.cells_allow(0.8).alias("possible"))
+    near = {(r.src, r.dst) for r in line_dedup.edit_near(pairs.select("src", "dst"), texts, 0.8).collect()}
+    possible = {(r.src, r.dst) for r in pairs.where("possible").collect()}
+    assert near and near <= possible and len(possible) < len(lines) * (len(lines) - 1) // 4
