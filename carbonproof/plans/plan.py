@@ -50,10 +50,10 @@ def order_plan_items(items: DataFrame) -> DataFrame:
     return dense_ids(items.withColumn("ordinal", rank.cast("int")), ["ordinal", "id"], "position")
 
 
-def human_size(size: Column) -> Column:
-    """A byte count in the largest binary unit that fits; two decimals, none for bytes."""
+def human_size(size: Column, largest: str = UNITS[-1]) -> Column:
+    """A byte count in the largest binary unit that fits, up to ``largest``; two decimals, none for bytes."""
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(UNITS[1:], start=1):
+    for k, unit in enumerate(UNITS[1 : UNITS.index(largest) + 1], start=1):
         scaled = F.bround(size.cast("decimal(38,10)") / F.lit(1024**k).cast("decimal(20,0)"), 2).cast("decimal(20,2)").cast("string")
         out = F.when(size >= 1024**k, F.concat(scaled, F.lit(f" {unit}"))).otherwise(out)
     return out
@@ -66,12 +66,12 @@ def plan_header(items: DataFrame, module: str, mode: str, created_at: str, summa
     return totals.select(*[F.lit(v).alias(k) for k, v in fixed.items()], "n_items", "estimated_bytes")
 
 
-def render_header(header: DataFrame) -> DataFrame:
-    """``line_no, line``: the display lines above the items of a plan."""
+def render_header(header: DataFrame, largest: str = UNITS[-1]) -> DataFrame:
+    """``line_no, line``: the display lines above the items of a plan, their bytes in units up to ``largest``."""
     lines = [
         F.format_string("%s plan for %s, made at %s", "mode", "module", "created_at"),
         F.concat(F.lit("source: "), "source_summary"),
-        F.concat(F.col("n_items").cast("string"), F.lit(" items of about "), human_size(F.col("estimated_bytes")), F.lit(", digests by "), "integrity"),
+        F.concat(F.col("n_items").cast("string"), F.lit(" items of about "), human_size(F.col("estimated_bytes"), largest), F.lit(", digests by "), "integrity"),
     ]
     return header.select(F.posexplode_outer(F.array(*lines)).alias("line_no", "line"))
 
