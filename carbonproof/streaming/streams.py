@@ -15,6 +15,10 @@ from carbonproof.functions.scratch import setting
 from carbonproof.operators.chunks import chunk_ok
 
 
+#: Years from Spark's least timestamp to 1970, at least.
+LEAST_YEARS = 1970
+
+
 def stream_copy(src: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Copy what has arrived since the last run, each row once over restarts, then stop."""
     return src.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -33,8 +37,13 @@ def stream_verify_chunks(src: DataFrame, ok: str, bad: str, checkpoint: str, chu
 
 
 def stream_dedup_chunks(src: DataFrame, ts: str, delay: str) -> DataFrame:
-    """The stream without chunks delivered again within ``delay``."""
-    return src.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["item_id", "chunk_index"])
+    """The stream without chunks delivered again within ``delay``.
+
+    Spark's watermark begins at 1970, and what is no later than the watermark is dropped as late. So it is held against times
+    LEAST_YEARS later, which no timestamp brings below its beginning.
+    """
+    clock = F.timestamp_micros(F.unix_micros(ts) + LEAST_YEARS * 366 * 86_400_000_000)
+    return src.withColumn("_clock", clock).withWatermark("_clock", delay).dropDuplicatesWithinWatermark(["item_id", "chunk_index"]).drop("_clock")
 
 
 TRACKED = "item_id bigint, received_bytes bigint, chunks bigint, total bigint, complete boolean"

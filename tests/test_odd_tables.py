@@ -35,3 +35,14 @@ def test_plan_header_beyond_a_tebibyte(equal_rows):
     rows = [(k, "b", 1_500_000) for k in range(2)]
     lines = equal_rows("plan_header", "part", rows, "p_partkey bigint, p_brand string, p_size int")
     assert any("2793.98 GiB" in line for (line,) in lines)
+
+
+def test_chunk_at_the_epoch_is_not_late(spark, tmp_path):
+    """The first instant of Spark's watermark, and times before it, in a later batch than later ones."""
+    schema = "item_id bigint, chunk_index bigint, ms bigint"
+    for part in ([(1, 0, 500), (2, 0, 700)], [(3, 0, 0), (4, 0, -86_400_000 * 365), (1, 0, 501)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    out = streams.stream_dedup_chunks(src.withColumn("ts", F.timestamp_millis("ms")), "ts", "1 hour")
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["item_id"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [1, 2, 3, 4]
