@@ -150,6 +150,14 @@ def verify_items(items: DataFrame, item_ends: DataFrame) -> DataFrame:
     return _item_status(item_digests(items), item_ends, "left")
 
 
-def verify_chunked_items(chunks: DataFrame, item_ends: DataFrame, whole_bytes: int = WHOLE_BYTES, group: int = TREE_GROUP) -> DataFrame:
-    """The same from chunks alone, for items of any size. An item without chunks has no bytes."""
-    return _item_status(chunk_item_digests(chunks, whole_bytes, group), item_ends, "full_outer")
+def verify_chunked_items(
+    chunks: DataFrame, item_ends: DataFrame, whole_bytes: int = WHOLE_BYTES, group: int = TREE_GROUP, expected: DataFrame | None = None
+) -> DataFrame:
+    """The same from chunks alone, for items of any size. An item without chunks has no bytes.
+
+    ``expected`` has the ``item_id`` of all items that should come: one of which neither a chunk nor an end record came is incomplete.
+    """
+    found = chunk_item_digests(chunks, whole_bytes, group)
+    if expected is not None:
+        found = found.join(expected.select("item_id").distinct(), "item_id", "full_outer")
+    return _item_status(found, item_ends, "full_outer")

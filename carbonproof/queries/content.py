@@ -226,13 +226,14 @@ def chunk_item_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verify_chunked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, n = fx.chunks(spark, sf_dir), F.col("item_id")
-    empty = fx.items(spark, sf_dir).where("size = 0").select("item_id", F.lit(0).cast("bigint").alias("total"), F.sha2(F.lit(""), 256).alias("digest"))
+    expected = fx.items(spark, sf_dir)
+    empty = expected.where("coalesce(size, 0) = 0").select("item_id", F.lit(0).cast("bigint").alias("total"), F.sha2(F.lit(""), 256).alias("digest"))
     ends = ck.chunk_item_digests(whole, WHOLE, GROUP).unionByName(empty).where(n % 31 != 0)
     ends = ends.withColumn("digest", F.when(n % 37 == 0, "deadbeef").otherwise(F.col("digest")))
     ends = ends.withColumn("total", F.when((n % 41 == 0) & (F.col("total") > 1), F.col("total") - 1).otherwise(F.col("total")))
     last = F.col("chunk_index") == F.max("chunk_index").over(Window.partitionBy("item_id"))
     arrived = whole.where(n % 29 != 0).unionByName(whole.where(n % 29 == 0).withColumn("last", last).where("not last").drop("last"))
-    return ck.verify_chunked_items(arrived, ends, WHOLE, GROUP)
+    return ck.verify_chunked_items(arrived, ends, WHOLE, GROUP, expected)
 
 
 @R.add(f"WITH {fx.ITEMS} SELECT CAST(item_id AS VARCHAR) AS rel_path, size, sha256(payload) AS full_hash FROM items WHERE size > 0")

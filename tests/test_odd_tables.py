@@ -46,3 +46,9 @@ def test_chunk_at_the_epoch_is_not_late(spark, tmp_path):
     out = streams.stream_dedup_chunks(src.withColumn("ts", F.timestamp_millis("ms")), "ts", "1 hour")
     out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["item_id"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [1, 2, 3, 4]
+
+
+def test_item_of_no_bytes_and_no_end_is_incomplete(equal_rows):
+    rows = [(31, ""), (62, None), (5, ""), (37, ""), (41, None), (6, "six"), (93, "x" * 5000)]
+    status = equal_rows("verify_chunked_items", "documents", rows, "doc_id bigint, text string")
+    assert (31, "incomplete") in status and (62, "incomplete") in status and (41, "ok") in status and len(status) == 7
