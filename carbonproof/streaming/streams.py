@@ -47,6 +47,10 @@ def stream_dedup_chunks(src: DataFrame, ts: str, delay: str) -> DataFrame:
 
 
 TRACKED = "item_id bigint, received_bytes bigint, chunks bigint, total bigint, complete boolean"
+#: What the state holds of an item; ``others`` counts its ranges after the first, ``due`` is when it will have been idle for too long.
+SUMS = ("item_id", "received", "chunks", "total", "start", "stop", "others", "due")
+#: Items that share a key of the state: those that differ in so many last bits of the id.
+BLOCK_BITS = 6
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -89,8 +93,10 @@ class Ranges:
 class ItemTracker(StatefulProcessor):
     """Per item the ranges of chunks that came, beside bytes, number of chunks and total.
 
-    Chunks that come in order are one range however many they are. The first range stands with the sums; further ones are a
-    map of start to stop, which is read only if there are any, and of which a batch writes only what it changed.
+    A key of the state is a block of neighbouring items, whose sums are read and written at once: most of the time of a key goes
+    into its calls of the state, whatever they carry. Chunks that come in order are one range however many they are. An item's
+    first range stands with its sums; further ones are a map of item and start to stop, which is read only if an item that got rows has any, and
+    of which a batch writes only what it changed.
     """
 
     def __init__(self, idle_ms: int | None) -> None:
@@ -98,58 +104,92 @@ class ItemTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ranges = handle.getMapState("ranges", "start bigint", "stop bigint")
-        self.sums = handle.getValueState("sums", "received bigint, chunks bigint, total bigint, start bigint, stop bigint, others bigint")
+        self.ranges = handle.getMapState("ranges", "item_id bigint, start bigint", "stop bigint")
+        self.sums = handle.getValueState("sums", f"items array<struct<{', '.join(f'{x}: bigint' for x in SUMS)}>>")
+
+    def _items(self) -> dict[int | None, list]:
+        """What is known of each item of the block: the fields of SUMS without the id."""
+        held = self.sums.get()
+        return {item: rest for item, *rest in held[0]} if held else {}
+
+    def _ranges(self) -> dict[int | None, dict[int, int]]:
+        """All ranges of the block's items but their first ones."""
+        found: dict[int | None, dict[int, int]] = {}
+        for (item, start), (stop,) in self.ranges.iterator():
+            found.setdefault(item, {})[start] = stop
+        return found
+
+    def _keep(self, items: dict[int | None, list]) -> None:
+        self.sums.update(([(item, *rest) for item, rest in items.items()],))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        received, chunks, total, start, stop, others = self.sums.get() or (0, 0, None, None, None, 0)
-        stored = {a: b for (a,), (b,) in self.ranges.iterator()} if others else {}
-        ranges = Ranges([*stored.items(), *([] if start is None else [(start, stop)])])
+        items, touched, stored = self._items(), {}, None
         for part in rows:
-            for kind, index, size, end in part[["kind", "chunk_index", "len", "total"]].itertuples(index=False):
+            for item, kind, index, size, end in part[["item_id", "kind", "chunk_index", "len", "total"]].itertuples(index=False):
+                item = None if key[0] is None else int(item)
+                if item not in touched:
+                    _, _, _, start, stop, others, _ = items.setdefault(item, [0, 0, None, None, None, 0, None])
+                    if others and stored is None:
+                        stored = self._ranges()
+                    more = stored[item] if others else {}
+                    touched[item] = Ranges([*more.items(), *([] if start is None else [(start, stop)])]), more
                 if kind == "end":
-                    total = int(end)
-                elif ranges.add(int(index)):
-                    received, chunks = received + int(size), chunks + 1
-        written, gone = ranges.changes(stored)
-        for at in gone:
-            self.ranges.removeKey((at,))
-        for at, until in written.items():
-            self.ranges.updateValue((at,), (until,))
-        first = (ranges.starts[0], ranges.stops[0]) if ranges.starts else (None, None)
-        self.sums.update((received, chunks, total, *first, max(0, len(ranges.starts) - 1)))
-        if self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if received != total:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield _tracked(key, received, chunks, total)
+                    items[item][2] = int(end)
+                elif touched[item][0].add(int(index)):
+                    items[item][0] += int(size)
+                    items[item][1] += 1
+        due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms if self.idle_ms else None
+        for item, (ranges, more) in touched.items():
+            written, gone = ranges.changes(more)
+            for at in gone:
+                self.ranges.removeKey((item, at))
+            for at, until in written.items():
+                self.ranges.updateValue((item, at), (until,))
+            received, chunks, total = items[item][:3]
+            first = (ranges.starts[0], ranges.stops[0]) if ranges.starts else (None, None)
+            items[item] = [received, chunks, total, *first, max(0, len(ranges.starts) - 1), due if received != total else None]
+        self._keep(items)
+        if due is not None and any(items[item][-1] == due for item in touched):
+            self.handle.registerTimer(due)
+        yield _tracked((item, *items[item][:3]) for item in touched)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if state := self.sums.get():
-            row = _tracked(key, *state[:3])
-            self.ranges.clear()
+        """Items that got rows after this timer was set have a later one of their own."""
+        items, now = self._items(), expiredTimerInfo.getExpiryTimeInMs()
+        idle = {item: rest for item, rest in items.items() if rest[-1] is not None and rest[-1] <= now}
+        if any(rest[5] for rest in idle.values()):
+            for item, more in self._ranges().items():
+                for start in more if item in idle else ():
+                    self.ranges.removeKey((item, start))
+        left = {item: rest for item, rest in items.items() if item not in idle}
+        if idle and left:
+            self._keep(left)
+        elif idle:
             self.sums.clear()
-            yield row
+        if idle:
+            yield _tracked((item, *rest[:3]) for item, rest in idle.items())
 
     def close(self) -> None:
         pass
 
 
-def _tracked(key: tuple, received: int, chunks: int, total: int | None) -> pd.DataFrame:
-    row = (key[0], received, chunks, total, total is not None and received == total)
-    return pd.DataFrame([row], columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"total": "Int64"})
+def _tracked(found: Iterable[tuple]) -> pd.DataFrame:
+    """Rows of TRACKED from items, their bytes, chunks and totals."""
+    rows = [(item, received, chunks, total, total is not None and received == total) for item, received, chunks, total in found]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"item_id": "Int64", "total": "Int64"})
 
 
-def stream_item_tracker(src: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def stream_item_tracker(src: DataFrame, idle_ms: int | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Per item: bytes, chunks, the end record's total, and whether it is complete, in any order of arrival.
 
     ``src`` has ``item_id, kind ('chunk' or 'end'), chunk_index, len, total``. A chunk that comes again
     counts once. With ``idle_ms``, an incomplete item that is idle for so long leaves the state with a
     last row; a stream with such timeouts goes on until it is stopped. Start it inside ``keyed_state``.
+    Items whose ids differ in the last ``block_bits`` bits only are held together; 0 holds each by itself, for few items with many ranges each.
     """
-    columns = src.select("item_id", "kind", "chunk_index", "len", "total")
-    return columns.groupBy("item_id").transformWithStateInPandas(ItemTracker(idle_ms), TRACKED, "Update", "ProcessingTime" if idle_ms else "None")
+    block = F.shiftright(F.col("item_id").cast("bigint"), block_bits).alias("block")
+    columns = src.select(block, "item_id", "kind", "chunk_index", "len", "total")
+    return columns.groupBy("block").transformWithStateInPandas(ItemTracker(idle_ms), TRACKED, "Update", "ProcessingTime" if idle_ms else "None")
 
 
 def stream_progress(src: DataFrame, width: str, slide: str | None = None, delay: str = "0 seconds") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +54,55 @@ def test_item_of_no_bytes_and_no_end_is_incomplete(equal_rows):
     rows = [(31, ""), (62, None), (5, ""), (37, ""), (41, None), (6, "six"), (93, "x" * 5000)]
     status = equal_rows("verify_chunked_items", "documents", rows, "doc_id bigint, text string")
     assert (31, "incomplete") in status and (62, "incomplete") in status and (41, "ok") in status and len(status) == 7
+
+
+TRACKED_SCHEMA = "item_id bigint, kind string, chunk_index bigint, len bigint, total bigint"
+
+
+def test_tracker_reads_neighbouring_items_at_once(spark, tmp_path):
+    """Items with gaps, repeats and negative ids over three batches: the last rows are right, and 130 items take few calls of the state."""
+    ids = [-65, -1, *range(128)]
+    parts = [
+        [(i, "chunk", c, 5, None) for i in ids for c in (2, 0, 1)],
+        [(i, "chunk", c, 5, None) for i in ids if i % 2 for c in (7, 1, 5)] + [(i, "end", None, None, 15) for i in ids if i % 3 == 0],
+        [(i, "chunk", c, 5, None) for i in ids if i % 5 == 0 for c in (0, 1, 6)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, TRACKED_SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    src = spark.readStream.schema(TRACKED_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    batches = []
+    with streams.keyed_state(spark):
+        query = streams.stream_item_tracker(src).writeStream.foreachBatch(lambda df, _: batches.append(df.collect())).outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+    last = {r["item_id"]: (r["received_bytes"], r["chunks"], r["total"], r["complete"]) for batch in batches for r in batch}
+    for i in ids:
+        held = {0, 1, 2} | ({7, 5} if i % 2 else set()) | ({6} if i % 5 == 0 else set())
+        total = 15 if i % 3 == 0 else None
+        assert last[i] == (5 * len(held), len(held), total, total == 5 * len(held))
+    states = query.recentProgress[0]["stateOperators"][0]["customMetrics"]
+    assert len(batches) == 3 and states["rocksdbPutCount"] < len(ids) / 2
+
+
+def test_tracker_lets_idle_items_go_alone(spark, tmp_path):
+    """Of two items of a block the incomplete one leaves with its last row, the complete one stays; when it comes again, it begins anew."""
+    put = lambda rows: spark.createDataFrame(rows, TRACKED_SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    put([(1, "chunk", 0, 5, None), (1, "chunk", 3, 5, None), (2, "chunk", 0, 5, None), (2, "end", None, None, 5)])
+    src = spark.readStream.schema(TRACKED_SCHEMA).parquet(f"file://{tmp_path}/in")
+    batches = []
+    until = time.time() + 90
+
+    def wait(n):
+        while len([r for b in batches for r in b if r["item_id"] == 1]) < n and time.time() < until:
+            time.sleep(0.2)
+
+    with streams.keyed_state(spark):
+        query = streams.stream_item_tracker(src, idle_ms=3000).writeStream.foreachBatch(lambda df, _: batches.append(df.collect())).outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").start()
+    try:
+        wait(2)
+        put([(1, "chunk", 3, 5, None), (2, "chunk", 0, 5, None)])
+        wait(3)
+    finally:
+        query.stop()
+    rows = [tuple(r) for b in batches for r in b]
+    assert [r for r in rows if r[0] == 1][:3] == [(1, 10, 2, None, False)] * 2 + [(1, 5, 1, None, False)]
+    assert [r for r in rows if r[0] == 2] == [(2, 5, 1, 5, True)] * 2
