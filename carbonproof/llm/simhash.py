@@ -26,7 +26,9 @@ LEAF, FANOUT, GROUP = 1024, 16, 16
 LINK_SCHEMA = "src bigint, dst bigint"
 #: The pipeline's near-duplicate stage: words in a shingle, and similarity of two sets of shingles at least.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-#: Its candidates: bands, and minwise hashes in a band.
+#: Its SimHash: words in a feature, and bits in which the fingerprints of candidates differ at most.
+STAGE_FEATURE, STAGE_RADIUS = 1, 3
+#: Its further candidates: bands, and minwise hashes in a band.
 BANDS, BAND_ROWS = 10, 4
 
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
@@ -247,20 +249,29 @@ def min_hashes(features: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_keys(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``doc_id, node, size, keys``: a hash and the size of the set of shingles, and a key for each band of minwise hashes."""
+    """``doc_id, node, size, keys, fp``: a hash and the size of the set of shingles, a key for each band of minwise hashes, and the SimHash of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, keys = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64), []
+            fps = np.fromiter((fingerprint(x.as_py(), STAGE_FEATURE) for x in batch.column(1)), np.uint64, len(batch))
             for k, x in enumerate(batch.column(1)):
                 features = shingle_set(x.as_py(), shingle)
                 nodes[k], sizes[k] = xxhash.xxh64_intdigest(features.tobytes()), len(features)
                 least = min_hashes(features, bands * rows) if len(features) else np.zeros(0, np.uint64)
                 keys.append([xxhash.xxh64_intdigest(least[i : i + rows].tobytes(), i) - (1 << 63) for i in range(0, len(least), rows)])
-            arrays = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", "keys"])
+            arrays = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", "keys", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, size bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, size bigint, keys array<bigint>, fp bigint")
+
+
+def index_candidates(nodes: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
+    """Pairs ``src < dst`` of the rows ``(node, fp)`` by the index: nodes of one fingerprint with the first of them, these along the index's links."""
+    distinct = materialise(nodes.groupBy("fp").agg(F.min("node").alias("id")), "distinct-fingerprints")
+    close = near_links(distinct, radius).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    equal = nodes.join(distinct, "fp").where("node <> id").select(F.col("id").alias("src"), F.col("node").alias("dst"))
+    return materialise(close.unionByName(equal).distinct(), "index-candidates")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -280,15 +291,18 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """``(doc_id, component_id)`` of documents with an id: chains of texts whose sets of shingles are similar.
 
-    Similarity is the exact Jaccard similarity of the sets. Candidates share one of BANDS bands of
-    BAND_ROWS minwise hashes; equal sets are one node, whatever their number, texts without a word too.
+    Similarity is the exact Jaccard similarity of the sets. Candidates come from the index over SimHash fingerprints of the words,
+    and, for near texts that it leaves apart, from equal bands of BAND_ROWS minwise hashes; equal sets are one node,
+    whatever their number, texts without a word too.
     """
     named = docs.where("doc_id is not null")
     keyed = materialise(shingle_keys(named, shingle), "shingle-keys")
-    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.min("fp").alias("fp"))
     nodes = materialise(nodes, "shingle-nodes")
+    candidates = index_candidates(nodes.select("node", "fp"))
     seen = shared_buckets(nodes.select(F.explode_outer("keys").alias("key"), F.col("node").alias("id"), "size").where("key is not null"))
-    wanted = nodes.join(seen.select("id").distinct().toDF("node"), "node", "left_semi").select("id").distinct()
+    compared = seen.select(F.col("id").alias("node")).unionByName(candidates.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    wanted = nodes.join(compared, "node", "left_semi").select("id").distinct()
     sets = _shingle_sets(without_ids(named, wanted, "left_semi"), shingle).groupBy("node").agg(F.any_value("features").alias("features"))
     sets = materialise(sets, "shingle-sets")
 
@@ -298,7 +312,8 @@ def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
         union = F.size("src_set") + F.size("dst_set") - F.col("common")
         return both.where(F.col("common") >= union * similarity - 1e-9).select(*pairs.columns)
 
-    groups = near_groups(seen, verified, similarity)
+    links = near_groups(seen, verified, similarity).select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    groups = connected_components(links.unionByName(verified(candidates)))
     merged = nodes.select("node", "id").join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     merged = merged.select("node", "id", F.coalesce("component", "node").alias("component"))
     heads = merged.groupBy("component").agg(F.min("id").alias("component_id"))
