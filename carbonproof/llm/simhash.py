@@ -30,6 +30,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 STAGE_FEATURE, STAGE_RADIUS = 1, 3
 #: Its further candidates: bands, and minwise hashes in a band.
 BANDS, BAND_ROWS = 10, 4
+#: Cells of a sketch of a set of shingles, at least and at most; powers of two.
+LEAST_CELLS, MOST_CELLS = 64, 1 << 15
 
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -248,22 +250,60 @@ def min_hashes(features: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def set_sketch(features: np.ndarray) -> bytes:
+    """A bit for each of as many cells as a set has members, rounded up: whether their number in the cell is odd."""
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, len(features) - 1).bit_length()))
+    counts = np.bincount((features & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Members that two sets do not have in common, at least: each changes one bit of a sketch. The longer sketch is folded to the other's cells."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def possibly_similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (``src``, ``dst``) that the sizes and sketches of ``nodes`` do not rule out, all columns kept.
+
+    Sets of a Jaccard similarity s differ in (1 - s) / (1 + s) of their two sizes' sum at most, so no similar pair is ruled out.
+    """
+    a, b = (nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in ("src", "dst"))
+    alike = (F.col("src_size") >= F.col("dst_size") * similarity - 1e-6) & (F.col("dst_size") >= F.col("src_size") * similarity - 1e-6)
+    both = pairs.join(a, "src").join(b, "dst").where(alike).select(*pairs.columns, "src_size", "dst_size", "src_sketch", "dst_sketch")
+    share, n = (1 - similarity) / (1 + similarity), len(pairs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(n).to_numpy() + batch.column(n + 1).to_numpy()
+            sketches = zip(batch.column(n + 2), batch.column(n + 3), strict=True)
+            apart = np.fromiter((least_apart(x.as_py(), y.as_py()) for x, y in sketches), np.int64, len(batch))
+            yield batch.select(range(n)).filter(pa.array(apart <= sizes * share + 1e-6))
+
+    return both.mapInArrow(run, pairs.schema)
+
+
 def shingle_keys(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``doc_id, node, size, keys, fp``: a hash and the size of the set of shingles, a key for each band of minwise hashes, and the SimHash of the words."""
+    """``doc_id, node, size, keys, fp, sketch``: a hash and the size of the set of shingles, a key for each band of minwise hashes, the SimHash of the words, and the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64), []
+            nodes, sizes, keys, sketches = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64), [], []
             fps = np.fromiter((fingerprint(x.as_py(), STAGE_FEATURE) for x in batch.column(1)), np.uint64, len(batch))
             for k, x in enumerate(batch.column(1)):
                 features = shingle_set(x.as_py(), shingle)
                 nodes[k], sizes[k] = xxhash.xxh64_intdigest(features.tobytes()), len(features)
                 least = min_hashes(features, bands * rows) if len(features) else np.zeros(0, np.uint64)
                 keys.append([xxhash.xxh64_intdigest(least[i : i + rows].tobytes(), i) - (1 << 63) for i in range(0, len(least), rows)])
-            arrays = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(fps.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", "keys", "fp"])
+                sketches.append(set_sketch(features))
+            arrays = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", "keys", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, size bigint, keys array<bigint>, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, size bigint, keys array<bigint>, fp bigint, sketch binary")
 
 
 def index_candidates(nodes: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
@@ -293,13 +333,14 @@ def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
 
     Similarity is the exact Jaccard similarity of the sets. Candidates come from the index over SimHash fingerprints of the words,
     and, for near texts that it leaves apart, from equal bands of BAND_ROWS minwise hashes; equal sets are one node,
-    whatever their number, texts without a word too.
+    whatever their number, texts without a word too. Sketches of the sets rule out candidates first, none that are similar,
+    since most of the index's differ in their shingles and the sets themselves are as large as the texts.
     """
     named = docs.where("doc_id is not null")
     keyed = materialise(shingle_keys(named, shingle), "shingle-keys")
-    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.min("fp").alias("fp"))
-    nodes = materialise(nodes, "shingle-nodes")
-    candidates = index_candidates(nodes.select("node", "fp"))
+    same = [F.any_value(name).alias(name) for name in ("size", "keys", "sketch")]
+    nodes = materialise(keyed.groupBy("node").agg(F.min("doc_id").alias("id"), *same, F.min("fp").alias("fp")), "shingle-nodes")
+    candidates = materialise(possibly_similar(index_candidates(nodes.select("node", "fp")), nodes, similarity), "index-candidates")
     seen = shared_buckets(nodes.select(F.explode_outer("keys").alias("key"), F.col("node").alias("id"), "size").where("key is not null"))
     compared = seen.select(F.col("id").alias("node")).unionByName(candidates.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     wanted = nodes.join(compared, "node", "left_semi").select("id").distinct()
@@ -308,6 +349,7 @@ def shingle_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.toDF(name, f"{name}_set") for name in ("src", "dst"))
+        pairs = possibly_similar(pairs, nodes, similarity)
         both = pairs.join(a, "src").join(b, "dst").withColumn("common", F.size(F.array_intersect("src_set", "dst_set")))
         union = F.size("src_set") + F.size("dst_set") - F.col("common")
         return both.where(F.col("common") >= union * similarity - 1e-9).select(*pairs.columns)

@@ -279,3 +279,29 @@ def test_stage_candidates_of_the_simhash_index(spark):
     assert sum({k, 1000 + k} in found for k in range(150)) >= 0.9 * 150
     kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert kept == set(range(150))
+
+
+def test_stage_sketches_rule_out_no_similar_sets():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for size in [1, 5, 63, 64, 65, 130, 1000, 5000, 40000] * 12:
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        gone, new = rng.integers(0, max(1, size // 6) + 1, 2)
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        least = simhash.least_apart(simhash.set_sketch(a), simhash.set_sketch(b))
+        assert least <= apart
+        ruled_out += least > (len(a) + len(b)) / 9
+    assert ruled_out > 10
+
+
+def test_stage_builds_no_sets_for_candidates_of_other_shingles(spark, monkeypatch):
+    """Texts of the same words in other orders have one fingerprint and no shingle in common; their sets went through two joins."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(60)]
+    texts.append(texts[0] + " more")
+    built = []
+    monkeypatch.setattr(simhash, "_shingle_sets", lambda docs, shingle, f=simhash._shingle_sets: (built.append(docs.count()), f(docs, shingle))[1])
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert kept == set(range(60)) and built == [2]
