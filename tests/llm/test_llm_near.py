@@ -305,3 +305,10 @@ def test_stage_builds_no_sets_for_candidates_of_other_shingles(spark, monkeypatc
     monkeypatch.setattr(simhash, "_shingle_sets", lambda docs, shingle, f=simhash._shingle_sets: (built.append(docs.count()), f(docs, shingle))[1])
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert kept == set(range(60)) and built == [2]
+
+
+def test_op3_kept_lines_are_not_broadcast_by_their_file_size(spark):
+    docs = spark.createDataFrame([(k, f"line {k} of a text\nshared line") for k in range(20)], "doc_id bigint, text string")
+    out = line_dedup.dedup_lines(docs, keep_count=True)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["n_dropped"] for r in out.collect()) >= 19
