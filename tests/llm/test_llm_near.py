@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 import numpy as np
@@ -266,6 +267,25 @@ def test_op3_word_counts_rule_out_no_near_pair(spark):
     assert near and near <= possible and len(possible) < len(lines) * (len(lines) - 1) // 4
 
 
+def test_op3_word_bound_rules_out_lines_with_another_beginning(spark):
+    """Lines with a passage of 55 words in common and 4 or 16 words before it are 16 edits apart, more than the 14 allowed."""
+    passage = [f"word{i}" for i in range(55)] + ["word1"]
+    lines = [" ".join([f"a{i}" for i in range(4)] + passage), " ".join([f"b{i}" for i in range(16)] + passage), " ".join([f"c{i}" for i in range(5)] + passage)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, norm string")
+    row = texts.select(F.col("line_id").alias("id"), F.length("norm").alias("size"), line_dedup.word_cells(F.col("norm")).alias("trait"))
+    other = row.select(*[F.col(c).alias(f"other_{c}") for c in row.columns])
+    pairs = row.join(other, F.col("id") < F.col("other_id")).select(F.col("id").alias("src"), F.col("other_id").alias("dst"), line_dedup.cells_allow(0.8).alias("possible"))
+    assert {(r.src, r.dst) for r in pairs.where("possible").collect()} == {(0, 2)}
+    assert {(r.src, r.dst) for r in line_dedup.edit_near(pairs, texts, 0.8).collect()} == {(0, 2)}
+
+
+def test_op3_normalised_text_of_every_ascii_character(spark):
+    text = "".join(f"x{chr(k)}y {chr(k)}{chr(k)} " for k in range(128)) + "é—ü Ａ"
+    got = spark.createDataFrame([(text,)], "text string").select(line_dedup.plain(F.col("text"))).first()[0]
+    marks = {chr(k) for k in range(128) if not chr(k).isalnum() and k != 10}
+    assert got == re.sub(r"\0+", " ", "".join("\0" if c in marks else c for c in text.lower()))
+
+
 def test_stage_candidates_of_the_simhash_index(spark):
     """Of one-word changes of texts of 400 words the index alone finds nine in ten; all are found in the end, and no other pair."""
     rng = random.Random(5)
