@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from carbonproof.llm import html_extract, license_scan, line_dedup, quality_classifier, simhash
+from carbonproof.llm import html_extract, license_scan, line_dedup, near_buckets, quality_classifier, simhash
 
 
 def varied(rng, words, text, share):
@@ -332,3 +332,42 @@ def test_op3_kept_lines_are_not_broadcast_by_their_file_size(spark):
     out = line_dedup.dedup_lines(docs, keep_count=True)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sum(r["n_dropped"] for r in out.collect()) >= 19
+
+
+def test_op3_lines_with_runs_in_common_are_ruled_out_before_their_texts_are_joined(spark):
+    """Lines of 40 to 50 characters that have runs of characters in common, a few edits apart or wholly different."""
+    rng = random.Random(8)
+    parts = ["th", "and", "er", "the", "ing", "of", "on", "tion", "ou", "ea"]
+    lines = []
+    for _ in range(40):
+        base = "".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(30)).strip()[: rng.randint(40, 50)]
+        for edits in range(14):
+            text = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(text))
+                text[at : at + rng.randint(0, 1)] = [rng.choice("aethn ")] * rng.randint(0, 1)
+            lines.append("".join(text)[:50])
+    lines = sorted(x for x in set(lines) if 12 <= len(x) <= line_dedup.pairs_until(0.8))
+    texts = spark.createDataFrame(list(enumerate([*lines, "aaaa" * 10, "aaaa" * 11, "é" * 5, "é" * 4])), "line_id bigint, norm string")
+    row = texts.select(F.col("line_id").alias("id"), F.length("norm").alias("size"), line_dedup.pair_cells(F.col("norm")).alias("trait"))
+    other = row.select(*[F.col(c).alias(f"other_{c}") for c in row.columns])
+    pairs = row.join(other, F.col("id") < F.col("other_id")).select(F.col("id").alias("src"), F.col("other_id").alias("dst"), line_dedup.cells_allow(0.8).alias("possible"))
+    near = {(r.src, r.dst) for r in line_dedup.edit_near(pairs.select("src", "dst"), texts, 0.8).collect()}
+    possible = {(r.src, r.dst) for r in pairs.where("possible").collect()}
+    assert len(near) > 500 and near <= possible and len(possible) < len(near) + len(lines) ** 2 // 20
+
+
+@pytest.mark.parametrize("ratio", [0.8, 0.5])
+def test_pairs_that_share_keys_come_out_once_whatever_their_sizes(spark, ratio):
+    rng = random.Random(9)
+    rows = [(key, i, size, i // 2) for i, size in enumerate([0, 1, 1, 2, *(rng.randint(3, 90) for _ in range(80))]) for key in rng.sample(range(12), 4)]
+    placed = spark.createDataFrame(rows, "key bigint, id bigint, size int, part bigint").withColumn("trait", F.lit(None).cast("int"))
+    keys, sizes = {}, {}
+    for key, i, size, _ in rows:
+        keys.setdefault(i, set()).add(key)
+        sizes[i] = size
+    for least in (1, 2):
+        found = [tuple(sorted((r.id, r.other_id))) for r in near_buckets._sharing(placed, ratio, least, F.lit(True)).collect()]
+        alike = lambda a, b: min(sizes[a], sizes[b]) >= max(sizes[a], sizes[b]) * ratio - 1e-6
+        asked = sorted((a, b) for a in keys for b in keys if a < b and a // 2 != b // 2 and len(keys[a] & keys[b]) >= least and alike(a, b))
+        assert sorted(found) == asked
