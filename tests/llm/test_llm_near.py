@@ -371,3 +371,14 @@ def test_pairs_that_share_keys_come_out_once_whatever_their_sizes(spark, ratio):
         alike = lambda a, b: min(sizes[a], sizes[b]) >= max(sizes[a], sizes[b]) * ratio - 1e-6
         asked = sorted((a, b) for a in keys for b in keys if a < b and a // 2 != b // 2 and len(keys[a] & keys[b]) >= least and alike(a, b))
         assert sorted(found) == asked
+
+
+def test_op3_few_pairs_of_unlike_lines_have_their_texts_compared(spark, monkeypatch):
+    """Lines of 40 to 50 characters of a few syllables, all different: their number of pairs that share a key grows with the square of the lines."""
+    rng, parts = random.Random(10), ["th", "and ", "er", "the ", "ing ", "of ", "on", "tion ", "ou", "ea"]
+    lines = sorted({"".join(rng.choice(parts) for _ in range(30))[: rng.randint(40, 50)].strip() for _ in range(1200)})
+    compared, near = [], line_dedup.edit_near
+    monkeypatch.setattr(line_dedup, "edit_near", lambda pairs, *rest: compared.append(pairs.count()) or near(pairs, *rest))
+    texts = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, norm string")
+    line_dedup.edit_groups(texts).collect()
+    assert compared[-1] < 10 * len(lines)
